@@ -53,27 +53,32 @@ FUNCTION_WORDS = {
     "es": frozenset("el la los las de del y un una en que por con fue para se su no al más lo como ningún cada".split()),
 }
 _WORD = re.compile(r"[^\W\d_]+")
-_KANA = re.compile(r"[぀-ヿ]")
-_HAN = re.compile(r"[㐀-鿿]")
-_CYR = re.compile(r"[Ѐ-ӿ]")
-_LAT = re.compile(r"[A-Za-zÀ-ɏ]")
+_KANA = re.compile(r"[぀-ヿ]+")
+_HAN = re.compile(r"[㐀-鿿]+")
+_CYR = re.compile(r"[Ѐ-ӿ]+")
+_LAT = re.compile(r"[A-Za-zÀ-ɏ]+")
+
+
+def _letters(kind: re.Pattern, text: str) -> int:
+    return sum(map(len, kind.findall(text)))
 
 
 def script_lang(text: str) -> str:
     """A quick language guess: by script, and among Latin-script languages by function words; "" for no letters."""
-    han = len(_HAN.findall(text))
-    kana = len(_KANA.findall(text))
-    lat = len(_LAT.findall(text))
-    if han + kana and 2 * (han + kana) >= lat // 3:
-        return "ja" if 4 * kana > han else "zh"
-    if len(_CYR.findall(text)) > lat:
-        return "ru"
+    lat = _letters(_LAT, text)
+    if not text.isascii():
+        han = _letters(_HAN, text)
+        kana = _letters(_KANA, text)
+        if han + kana and 2 * (han + kana) >= lat // 3:
+            return "ja" if 4 * kana > han else "zh"
+        if _letters(_CYR, text) > lat:
+            return "ru"
     if not lat:
         return ""
     words = _WORD.findall(text.lower())
     best, top = "en", 0
     for lang, known in FUNCTION_WORDS.items():
-        n = sum(w in known for w in words)
+        n = sum(map(known.__contains__, words))
         if n > top:
             best, top = lang, n
     return best

@@ -15,6 +15,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import lru_cache
+from operator import add
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -47,6 +49,7 @@ _CJK_END = re.compile(r"([぀-ヿ㐀-鿿]{2})[。！？]")
 STATS_SCHEMA = "kind string, lang string, a string, b string, n bigint"
 
 
+@lru_cache(1 << 16)
 def _type(token: str) -> tuple[str, bool, str]:
     """(lower-case type without its final period, whether it had one, the token without outer marks)."""
     core = token.lstrip(_LEAD)
@@ -60,6 +63,7 @@ def _type(token: str) -> tuple[str, bool, str]:
     return core.lower(), dot, core
 
 
+@lru_cache(1 << 16)
 def _ends(token: str) -> str:
     """The last sentence-ending mark of a token, or ""."""
     t = token.rstrip("”\"»“’'」』›）)]")
@@ -77,12 +81,13 @@ def count_row(text: str, out: Counter) -> None:
         out[("S", lang, first, "")] += 1
     for last in _CJK_END.findall(text):
         out[("E", lang, last, "")] += 1
-    for run in _CJK_RUN.findall(text):
-        for pair in zip(run, run[1:], strict=False):
-            out[("B", lang, pair[0] + pair[1], "")] += 1
+    if lang in ("zh", "ja"):
+        pairs = out.setdefault(("B", lang), Counter())
+        for run in _CJK_RUN.findall(text):
+            pairs.update(map(add, run, run[1:]))
     before, end = None, "start"
     for token in _TOKEN.findall(text):
-        if _CJK.search(token):
+        if not token.isascii() and _CJK.search(token):
             # In running text without spaces only "No." and its like matter: a Latin word and a period before a space.
             tail = re.search(r"([A-Za-z]+)(\.?)$", token)
             if tail:
@@ -132,6 +137,9 @@ def collect_stats(rows: DataFrame) -> DataFrame:
 
 
 def _stats_batch(out: Counter) -> pa.RecordBatch:
+    for key in [k for k in out if len(k) == 2]:  # pairs of characters are counted apart
+        for pair, n in out.pop(key).items():
+            out["B", key[1], pair, ""] = n
     keys = list(out)
     cols = [pa.array([k[i] for k in keys], pa.string()) for i in range(4)]
     return pa.RecordBatch.from_arrays([*cols, pa.array(list(out.values()), pa.int64())], ["kind", "lang", "a", "b", "n"])
