@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import encoding, language, leakage, sentences, truncation, unify
+from . import canonical, encoding, language, leakage, sentences, truncation, unify
 from .common import table
 
 QUERIES = {
     "p1_found": lambda s, d: language.found(table(s, d, "documents"), table(s, d, "wiki_chunk"), table(s, d, "sentences")),
     "p2_found": lambda s, d: unify.found(*(table(s, d, t) for t in ("resolved", "entity_map", "relation_schema"))),
     "p4_found": lambda s, d: sentences.found(table(s, d, "sentences")),
+    "p5_found": lambda s, d: canonical.found(table(s, d, "resolved"), table(s, d, "entity_map")),
     "p6_found": lambda s, d: truncation.found(table(s, d, "triples_extracted"), table(s, d, "re_predictions"), table(s, d, "sentences")),
     "p7_found": lambda s, d: leakage.found(table(s, d, "documents"), table(s, d, "eval_items")),
     "p9_found": lambda s, d: encoding.found(table(s, d, "documents")),
