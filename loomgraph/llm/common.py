@@ -10,11 +10,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import ship
+
 SCAN_PREFIX = "file:scans/"
 LANGS = ("zh", "en", "de", "fr", "es", "ja", "ru")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -537,3 +537,16 @@ def found(sentences: DataFrame, scan_prefix: str | None = "file:scans/") -> Data
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int32())], ["row_id", "start_char"])
 
     return keyed.mapInArrow(split, "row_id bigint, start_char int")
+
+
+def units(sentences: DataFrame) -> DataFrame:
+    """(source_id, row_id, unit, sentence): the pieces of whole sentences of every row, scanned ones included; continues
+    says that the piece goes on with the last one of the row before."""
+    starts = found(sentences, scan_prefix=None)
+    cuts = starts.groupBy("row_id").agg(F.sort_array(F.collect_set(F.when(F.col("start_char") > 0, F.col("start_char")))).alias("cuts"), F.max(F.col("start_char") == -1).alias("continues"))
+    rows = sentences.filter(F.col("sentence").isNotNull()).select("row_id", "source_id", "sentence_idx", "sentence").join(cuts, "row_id", "left")
+    begin = F.concat(F.array(F.lit(0)), F.coalesce("cuts", F.array().cast("array<int>")))
+    end = F.concat(F.coalesce("cuts", F.array().cast("array<int>")), F.array(F.length("sentence")))
+    each = rows.select("row_id", "source_id", "sentence_idx", "sentence", F.coalesce("continues", F.lit(False)).alias("continues"), F.posexplode(F.arrays_zip(begin.alias("a"), end.alias("b"))).alias("unit", "span"))
+    piece = F.trim(F.substring(F.col("sentence"), F.col("span.a") + 1, F.col("span.b") - F.col("span.a")))
+    return each.select("row_id", "source_id", "sentence_idx", "unit", piece.alias("sentence"), (F.col("continues") & (F.col("unit") == 0)).alias("continues"))
