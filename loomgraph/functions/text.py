@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Whitespace as Unicode has it, for Java's expressions and spelt out for others.
-SPACE = r"[\s   -     　]"
+#: Whitespace as Unicode has it, spelt out so that all dialects of expressions read it alike.
+SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Marks that don't belong to a mention at its ends (fixed values).
 MENTION_MARKS = "\"'“”‘’()（）[]【】"
 LITERAL_MARKS = MENTION_MARKS + "《》"
@@ -121,8 +121,8 @@ def rel_type_text(predicate) -> Column:
 def pick_label(labels, fallback) -> Column:
     """A label of a map by language: Chinese forms, then English, then any that isn't empty, then the identifier."""
     by = [F.nullif(F.element_at(_col(labels), lang), F.lit("")) for lang in ("zh-hans", "zh-cn", "zh", "en")]
-    rest = F.element_at(F.filter(F.map_values(_col(labels)), lambda v: v != ""), 1)
-    return F.coalesce(*by, F.when(F.size(F.filter(F.map_values(_col(labels)), lambda v: v != "")) > 0, rest), _col(fallback))
+    rest = F.get(F.filter(F.map_values(_col(labels)), lambda v: v != ""), F.lit(0))
+    return F.coalesce(*by, rest, _col(fallback))
 
 
 def data_value(kind, value) -> Column:

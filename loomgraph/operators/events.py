@@ -38,7 +38,7 @@ def _of(label: str) -> Column:
 def _distinct_args(args: Column) -> Column:
     """Arguments of equal role, entity and mention (whatever its case) count once; the first stays."""
     key = lambda a: F.concat_ws("\u0001", a["role"], a["qid"], F.lower(a["mention"]))
-    return F.transform(F.array_distinct(F.transform(args, key)), lambda k: F.element_at(F.filter(args, lambda a: key(a) == k), 1))
+    return F.transform(F.array_distinct(F.transform(args, key)), lambda k: F.get(F.filter(args, lambda a: key(a) == k), F.lit(0)))
 
 
 def _rows(df: DataFrame, event: Column | str, trig: Column, args: Column, method: str) -> DataFrame:
@@ -62,7 +62,7 @@ def award_events(df: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def _person(person_seed: str) -> tuple[Column, Column]:
-    first = F.element_at(_of("PER"), 1)
+    first = F.get(_of("PER"), F.lit(0))
     own = (F.col("seed_id") == person_seed) & F.col("seed_qid").startswith("Q")
     qid = F.when(own, F.col("seed_qid")).otherwise(first["qid"])
     return qid, F.when(own, F.col("seed_qid")).otherwise(first["mention"])
@@ -73,7 +73,7 @@ def post_events(df: DataFrame, person_seed: str) -> DataFrame:
     emp, edu = trigger("sentence", "EmploymentEvent"), trigger("sentence", "EducationEvent")
     qid, men = _person(person_seed)
     year = T.first_year("sentence")
-    rows = df.withColumn("t", F.coalesce(emp, edu)).withColumn("kind", F.when(emp.isNotNull(), "EmploymentEvent").otherwise("EducationEvent")).withColumn("org", F.element_at(_of("ORG"), 1)).withColumn("pq", qid).withColumn("pm", men)
+    rows = df.withColumn("t", F.coalesce(emp, edu)).withColumn("kind", F.when(emp.isNotNull(), "EmploymentEvent").otherwise("EducationEvent")).withColumn("org", F.get(_of("ORG"), F.lit(0))).withColumn("pq", qid).withColumn("pm", men)
     rows = rows.filter("t is not null and org is not null and pq is not null")
     args = F.array(_arg("Person", F.col("pq"), F.col("pm"), "PER"), _arg("Organization", F.col("org.qid"), F.col("org.mention"), "ORG"), F.when(year != "", _arg("Time", F.lit(""), year, "DATE")))
     return _rows(rows, F.col("kind"), F.col("t"), args, "employment_education_rule")
@@ -87,7 +87,7 @@ def publication_events(df: DataFrame, names: DataFrame, person_seed: str, concep
     phrase = F.when(en, F.regexp_extract("sentence", r"(?i)\b(?:proposed|introduced|published)\b\s+(?:the\s+|a\s+|an\s+)?([^,.;]{3,80})", 1)).otherwise(F.regexp_extract("sentence", r"(?:提出|发表|发表于)([^。；，]{2,60})", 1))
     rows = df.withColumn("t", trigger("sentence", "PublicationEvent")).withColumn("pq", qid).withColumn("pm", men).filter("t is not null and pq is not null").withColumn("phrase", F.trim(T.strip_marks(F.trim(phrase))))
     rows = rows.join(names.select(F.col("mention").alias("phrase"), F.col("qid").alias("o_qid")), "phrase", "left")
-    other = F.element_at(F.filter("linked", lambda m: m["qid"].startswith("Q") & (m["qid"] != F.col("pq")) & m["ner_label"].isin("ORG", "LOC")), 1)
+    other = F.get(F.filter("linked", lambda m: m["qid"].startswith("Q") & (m["qid"] != F.col("pq")) & m["ner_label"].isin("ORG", "LOC")), F.lit(0))
     own = (F.col("seed_id") == concept_seed) & F.col("seed_qid").startswith("Q")
     rows = rows.withColumn("oq", F.when(own, F.col("seed_qid")).otherwise(F.coalesce("o_qid", other["qid"], F.lit("")))).withColumn("om", F.when(own, F.col("seed_qid")).when(F.col("o_qid").isNotNull(), F.col("phrase")).otherwise(F.coalesce(other["mention"], F.col("phrase"))))
     rows = rows.filter("oq <> '' or om <> ''")
@@ -101,7 +101,7 @@ def extract(df: DataFrame, names: DataFrame, person_seed: str, concept_seed: str
 
 
 def _value(role: str) -> Column:
-    a = F.element_at(F.filter("args", lambda x: x["role"] == role), 1)
+    a = F.get(F.filter("args", lambda x: x["role"] == role), F.lit(0))
     return F.when(a["qid"] != "", a["qid"]).otherwise(T.literal(a["mention"]))
 
 

@@ -31,7 +31,11 @@ def map_label(label) -> Column:
 
 def numeric(sentences: DataFrame, keys: list[str]) -> DataFrame:
     """Numeric mentions of each sentence: keys, ord, mention, ner_label; each mention and label once in a sentence."""
-    found = F.concat(*[F.transform(F.regexp_extract_all("sentence", F.lit(rx), F.lit(1)), lambda m, label=label: F.struct(T.mention(m).alias("mention"), F.lit(label).alias("ner_label"))) for label, rx in NUMERIC])
+
+    def of(label: str):
+        return lambda m: F.struct(T.mention(m).alias("mention"), F.lit(label).alias("ner_label"))
+
+    found = F.concat(*[F.transform(F.regexp_extract_all("sentence", F.lit(rx), F.lit(1)), of(label)) for label, rx in NUMERIC])
     kept = F.filter(F.array_distinct(found), lambda m: m["mention"] != "")
     return sentences.select(*keys, F.posexplode(kept).alias("ord", "m")).select(*keys, "ord", "m.mention", "m.ner_label")
 

@@ -30,10 +30,11 @@ EN_TEMPLATES = (
 
 def slots(sentences: DataFrame, keys: list[str], templates=ZH_TEMPLATES) -> DataFrame:
     """Every match: keys, ord, slot, predicate, prop_id, method. Slots of fewer than two characters are dropped."""
-    found = F.concat(*[
-        F.transform(F.regexp_extract_all("sentence", F.lit(rx), F.lit(1)), lambda m, p=p, i=i, t=t: F.struct(T.zh_slot(m).alias("slot"), F.lit(p).alias("predicate"), F.lit(i).alias("prop_id"), F.lit(t).alias("method")))
-        for rx, p, i, t in templates
-    ])
+
+    def of(predicate: str, prop: str, method: str):
+        return lambda m: F.struct(T.zh_slot(m).alias("slot"), F.lit(predicate).alias("predicate"), F.lit(prop).alias("prop_id"), F.lit(method).alias("method"))
+
+    found = F.concat(*[F.transform(F.regexp_extract_all("sentence", F.lit(rx), F.lit(1)), of(*rest)) for rx, *rest in templates])
     each = sentences.select(*keys, F.posexplode(found).alias("ord", "m")).select(*keys, "ord", "m.*")
     return each.filter(F.length("slot") >= 2)
 

@@ -113,4 +113,4 @@ def routing_rows(sentences: DataFrame, top: DataFrame, how: Routing = Routing())
 
 def lookup(assigned: Column, seed_id: Column) -> Column:
     """The first assignment of a seed in an array of assignments, or null."""
-    return F.element_at(F.filter(assigned, lambda a: a["seed_id"] == seed_id), 1)
+    return F.get(F.filter(assigned, lambda a: a["seed_id"] == seed_id), F.lit(0))

@@ -53,7 +53,7 @@ def multiclass(labelled: DataFrame, keep_several: bool = False) -> DataFrame:
     """One label for each bag: its only positive one, NA without any; bags with several go, or keep the first."""
     n = F.size("labels_pos")
     rows = labelled if keep_several else labelled.filter(n <= 1)
-    return rows.withColumn("label", F.when(F.size("labels_pos") > 0, F.element_at("labels_pos", 1)).otherwise("NA"))
+    return rows.withColumn("label", F.when(F.size("labels_pos") > 0, F.get("labels_pos", F.lit(0))).otherwise("NA"))
 
 
 def by_hash(df: DataFrame, key: str, seed: str = SPLIT_SEED):

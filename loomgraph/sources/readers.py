@@ -54,7 +54,7 @@ def excerpt_source(chunk) -> tuple[Column, Column, Column]:
     lines = F.filter(F.transform(F.split(F.col(chunk), "\n"), T.strip), lambda x: x != "")
     first = F.coalesce(F.get(lines, F.lit(0)), F.lit(""))
     cite, url, title = F.lit("user_excerpt"), F.lit(""), F.substring(first, 1, 120)
-    later = F.coalesce(F.element_at(F.filter(F.slice(lines, 2, 1000), lambda x: F.length(x) >= 10), 1), first)
+    later = F.coalesce(F.get(F.filter(F.slice(lines, 2, 1000), lambda x: F.length(x) >= 10), F.lit(0)), first)
     for start, key, address in reversed(EXCERPT_SOURCES):
         hit = first.startswith(start)
         cite, url = F.when(hit, key).otherwise(cite), F.when(hit, address).otherwise(url)
