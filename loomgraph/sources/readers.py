@@ -37,7 +37,7 @@ def front_matter(text) -> tuple[Column, Column]:
 
 def articles(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks of a folder of .txt files, README.TXT left out, in the order of their names."""
-    raw = spark.read.option("wholetext", True).text(f"{folder}/*.txt").select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("raw"))
+    raw = spark.read.text(f"{folder}/*.txt", wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("raw"))
     meta, body = front_matter("raw")
     rows = raw.filter(F.upper("file") != "README.TXT").select("file", meta.alias("m"), body.alias("body"))
     names = rows.select("file").withColumn("chunk_ord", F.row_number().over(Window.orderBy("file")) - 1)

@@ -26,7 +26,8 @@ def own_scores(stream: DataFrame, seeds: list[Seed], how: Routing = Routing()) -
 
 def counts(stream: DataFrame, seeds: list[Seed], at: str = "ingested_at", width: str = "1 day", late: str = "2 days") -> DataFrame:
     """Sentences and mean score for each seed and tumbling window; rows later than the watermark are left out."""
-    scored = own_scores(stream.withWatermark(at, late), seeds)
+    timed = stream.withColumn(at, F.col(at).cast("timestamp"))
+    scored = own_scores(timed.withWatermark(at, late), seeds)
     return scored.groupBy(F.window(at, width).alias("w"), "seed_id").agg(F.count("*").alias("sentences"), F.round(F.avg("score"), 6).alias("mean_score")).select(F.col("w.start").alias("day"), "seed_id", "sentences", "mean_score")
 
 
