@@ -67,6 +67,7 @@ SINGLE = (SingleByte("cp1252", also_latin1=True), SingleByte("cp1251"), SingleBy
 
 _LATIN = re.compile(r"^[ -ſ]+$")
 _CYRILLIC_TEXT = re.compile(r"[а-яё]")
+_CYRILLIC_LETTERS = re.compile(r"^[А-яЁё]+$")
 _LETTER = re.compile(r"[A-Za-z]")
 _WIDE = r"‐-‧‰-›€№™　-ヿ㐀-鿿＀-￮"
 _PLAUSIBLE = re.compile(f"^[\\u00a0-\\u017f\\u0218-\\u021b\\u0391-\\u03c9\\u0401\\u0410-\\u044f\\u0451{_WIDE}\ufffd]+$")
@@ -77,6 +78,7 @@ _UTF8_IN_GBK = re.compile(rb"(?:[\xe2-\xe9\xef][\x80-\xbf]{2}|[\xc2\xc3\xc5][\x8
 _UTF8_NEAR_LOSS = re.compile(rb"(?:[\xe2-\xe9\xef][\x80-\xbf]{2}){2,}")
 _LOSS = re.compile("[\ufffd\ue000-\uf8ff\x1a]")
 _SJIS_RUN = re.compile(r"(?:[\x81-\x9f‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸà-ï][@-~\x80-ü€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]){2,}")
+_CYR_ANY = re.compile(r"[À-ÿ¨¸]{2,}(?:[ ,.\-«»]+[À-ÿ¨¸]+)*")
 _BIG5_ODD = re.compile(r"[ㄅ-ㄩ﹐-﹫︰-︿岆腔湮悝珨祥]")
 _REPLACED = re.compile("(?:锟斤拷)+锟?|\ufffd+")
 _KANA = re.compile(r"[぀-ヿ]")
@@ -110,8 +112,11 @@ def _share(s: str) -> float:
 
 
 def _single_spans(text: str):
+    """Spans by the encodings of one byte a character. A few Cyrillic letters alone may stand there by chance; they
+    count where the text has a longer span of the same encoding."""
     cyrillic = len(_CYRILLIC_TEXT.findall(text))
     for codec in SINGLE:
+        sure, short = [], []
         for a, b, decoded in codec.spans(text):
             if not _PLAUSIBLE.match(decoded):
                 good = _PLAUSIBLE.match(re.sub(r"[\u0080-\u009fƀ-ɏͰ-֏]", "", decoded) or "?")
@@ -120,10 +125,16 @@ def _single_spans(text: str):
             n = len(decoded)
             if n == 1 and decoded > "\u2fff" and decoded != "\ufffd":
                 continue  # one wide character alone comes about by chance, as in an accented letter before an ellipsis
+            span = (a, b, decoded, codec.codec)
             if codec.codec == "cp1251" and cyrillic > 20 and n < 3:
-                continue
-            if _LATIN.match(decoded) or _WIDE_ONE.search(decoded) or "\ufffd" in decoded or n >= 3:
-                yield a, b, decoded, codec.codec
+                short.append(span)
+            elif _LATIN.match(decoded) or _WIDE_ONE.search(decoded) or "\ufffd" in decoded or n >= 3:
+                sure.append(span)
+            else:
+                short.append(span)
+        yield from sure
+        if any(len(s[2]) >= 3 and _CYRILLIC_TEXT.search(s[2]) for s in sure):
+            yield from (s for s in short if _CYRILLIC_LETTERS.match(s[2]))
 
 
 def _gbk_as_latin(text: str):
@@ -147,9 +158,9 @@ def _sjis_as_latin(text: str):
 
 def _cyrillic_as_latin(text: str):
     """Cyrillic of one byte a letter read as Latin-1: runs of words that consist of upper-half letters only."""
-    runs = list(_CYR_RUN.finditer(text))
-    if sum(m.end() - m.start() for m in runs) < 12:
+    if sum(m.end() - m.start() for m in _CYR_RUN.finditer(text)) < 12:
         return
+    runs = list(_CYR_ANY.finditer(text))
     for m in runs:
         raw = m[0].encode("latin-1")
         best = max((raw.decode(c) for c in ("cp1251", "koi8-r", "iso8859-5")), key=lambda s: len(_CYRILLIC_TEXT.findall(s)))
