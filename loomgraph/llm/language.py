@@ -28,7 +28,9 @@ EPOCHS = 6
 NGRAMS = (1, 2, 3, 4)
 #: Held-out precision that the rejection threshold must reach.
 PRECISION = 0.998
-SWITCH = 2.5
+SWITCH = 3.5
+#: Pieces with fewer characters (wide ones count three times) say less about their language: headings, broken lines.
+FULL_SIZE = 55
 
 _UNIT = re.compile(r"(?<=[.!?…])[”»“\"’)\]]*\s+|(?<=[。！？…])[”」』）]*(?=[^”」』）])|\r?\n+(?![^\S\n]*[a-zß-öø-ÿš-žа-яё])")
 _GLOSS = re.compile(r"（[^（）]{0,80}）|\([^()]{0,80}\)|\[[^\[\]]{0,80}\]")
@@ -244,7 +246,8 @@ def _calibrate(model: Model, pieces: list[str], y: np.ndarray) -> None:
 
 def segment(probs: np.ndarray, sizes: list[int], threshold: float) -> list[tuple[int, float]]:
     """(language, confidence) of each run of units, by Viterbi; rejected units carry little weight of their own."""
-    logp = np.log(np.maximum(probs, 1e-5)) * np.minimum(1, np.array(sizes) / 45)[:, None]
+    weight = np.minimum(1, np.array(sizes) / FULL_SIZE) ** 2
+    logp = np.log(np.maximum(probs, 1e-4)) * weight[:, None]
     logp[probs.max(1) < threshold] *= 0.3
     n, k = logp.shape
     score, back = logp[0].copy(), np.zeros((n, k), int)
