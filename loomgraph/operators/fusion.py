@@ -40,9 +40,10 @@ def merge(triples: DataFrame, order: str = "row_id", by_source: bool = True) ->
 
 
 def merge_reasons(triples: DataFrame, keys: list[str], order: str = "row_id") -> DataFrame:
-    """Reasons (JSON) fused: lists united up to MAX_LIST entries in order, flags by or, numbers by maximum."""
+    """Reasons (JSON) fused: lists united up to MAX_LIST entries in order, flags by or, numbers by maximum. Text that isn't
+    whole JSON gives nothing."""
     schema = "anchor_hits array<string>, trigger_hits array<string>, nearby_anchor boolean, window_expanded boolean, window_from_sentence_idx int"
-    parsed = triples.withColumn("r", F.from_json("reasons", schema))
+    parsed = triples.withColumn("r", F.from_json(F.when(F.try_parse_json("reasons").isNotNull(), F.col("reasons")), schema))
     lists = parsed.groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct(order, F.coalesce("r.anchor_hits", F.array().cast("array<string>")).alias("a"), F.coalesce("r.trigger_hits", F.array().cast("array<string>")).alias("t")))).alias("all"),
         F.max(F.coalesce("r.nearby_anchor", F.lit(False))).alias("nearby_anchor"),

@@ -353,18 +353,25 @@ def _(r, e, t):
 # --- relations and events -----------------------------------------------------------------------------------------------
 
 _WORLD_TEMPLATES = (*relations.ZH_TEMPLATES, (r"获得([^，。]{2,30})，", "award_received", "P166", "zh_template"), (r"于[0-9]{4}年至[0-9]{4}年间在([^。]{2,20})重新建造", "location", "P276", "zh_template"))
-_SLOTS = " union all ".join(f"select source_id, sentence_idx, {i} k, generate_subscripts(m,1) j, unnest(m) v, '{p}' predicate, '{q}' prop_id from (select source_id, sentence_idx, regexp_extract_all(coalesce(sentence,''),'{rx}',1) m from s0)" for i, (rx, p, q, _m) in enumerate(_WORLD_TEMPLATES))
+def _slots_sql(templates) -> str:
+    """CTEs s0, m, c: the slots of all templates with their place among a sentence's matches."""
+    each = " union all ".join(
+        f"select source_id, sentence_idx, {i} k, generate_subscripts(m,1) j, unnest(m) v, '{p}' predicate, '{q}' prop_id, '{method}' as method from (select source_id, sentence_idx, regexp_extract_all(coalesce(sentence,''),'{rx.replace(chr(39), chr(39) * 2)}',1) m from s0)"
+        for i, (rx, p, q, method) in enumerate(templates)
+    )
+    return f"""s0 as (select source_id, sentence_idx, min(sentence) sentence from sentences group by 1,2), m as ({each}),
+ c as (select source_id, sentence_idx, predicate, prop_id, method, row_number() over (partition by source_id, sentence_idx order by k, j)-1 ord, substr(trim(regexp_replace(regexp_replace(regexp_replace(v,'^{SP}+|{SP}+$','','g'),'^[，,、]+|[，,、]+$','','g'),'(?s)[等及其].*$',''),' '),1,80) slot from m)"""
 
 
-@query("pattern_slots", "sentences", sql=f"""with s0 as (select source_id, sentence_idx, min(sentence) sentence from sentences group by 1,2), m as ({_SLOTS}),
- c as (select source_id, sentence_idx, predicate, prop_id, row_number() over (partition by source_id, sentence_idx order by k, j)-1 ord, substr(trim(regexp_replace(regexp_replace(regexp_replace(v,'^{SP}+|{SP}+$','','g'),'^[，,、]+|[，,、]+$','','g'),'(?s)[等及其].*$',''),' '),1,80) slot from m)
- select source_id, sentence_idx, ord::int as ord, slot, predicate, prop_id from c where length(slot)>=2""")
+@query("pattern_slots", "sentences", sql=f"with {_slots_sql(_WORLD_TEMPLATES)} select source_id, sentence_idx, ord::int as ord, slot, predicate, prop_id from c where length(slot)>=2")
 def _(s):
     once = s.groupBy("source_id", "sentence_idx").agg(F.min("sentence").alias("sentence"))
     return relations.slots(once.withColumn("sentence", F.coalesce("sentence", F.lit(""))), ["source_id", "sentence_idx"], _WORLD_TEMPLATES).drop("method")
 
 
-@query("pattern_relations", "sentences", "entity_map")
+@query("pattern_relations", "sentences", "entity_map", sql=f"""with {_slots_sql((*_WORLD_TEMPLATES, *relations.EN_TEMPLATES))}, {_ALIASES}, sl as (select * from c where length(slot)>=2),
+ ov as (select slot, qid from (select d.slot, al.qid, row_number() over (partition by d.slot order by length(al.alias) desc, al.line_no) r from (select distinct slot from sl) d join al on length(al.alias)>=2 and contains(lower(d.slot),al.alias)) where r=1)
+ select source_id, sentence_idx, qid, predicate, substr(arg_min(slot,ord),1,120) as object_mention, arg_min(prop_id,ord) as prop_id, arg_min(method,ord) as method from sl join ov using (slot) group by 1,2,3,4""")
 def _(s, e):
     keys = ["source_id", "sentence_idx"]
     once = s.filter("sentence is not null").groupBy(*keys).agg(F.min("sentence").alias("sentence"))
@@ -684,7 +691,14 @@ def _(t):
     return fusion.merge(t).select("seed_id", "sentence_idx", "predicate", "obj", "source_url", "n", F.round("relevance", 6).alias("relevance"), F.round("link", 6).alias("link"), "methods", "evidence_sentence", "first_row")
 
 
-@query("reason_merge", "triples_extracted")
+def _hits_sql(name: str) -> str:
+    return f"""{name} as (select seed_id, source_url, string_agg(v,',' order by o) l from (select *, row_number() over (partition by seed_id, source_url order by o) n from (select seed_id, source_url, v, min(row_id*10000+i) o from
+ (select row_id, seed_id, source_url, unnest(l) v, generate_subscripts(l,1) i from (select *, json_extract_string(r,'$.{name}[*]') l from p)) group by 1,2,3)) where n<={fusion.MAX_LIST} group by 1,2)"""
+
+
+@query("reason_merge", "triples_extracted", sql=f"""with p as (select row_id, seed_id, source_url, case when json_valid(reasons) then reasons end r from triples_extracted), {_hits_sql('anchor_hits')}, {_hits_sql('trigger_hits')},
+ g as (select seed_id, source_url, max(coalesce((r->>'nearby_anchor')::boolean,false)) nearby_anchor, max(coalesce((r->>'window_expanded')::boolean,false)) window_expanded, max((r->>'window_from_sentence_idx')::int) window_from_sentence_idx from p group by 1,2)
+ select g.*, coalesce(a.l,'') as anchor_hits, coalesce(t.l,'') as trigger_hits from g left join anchor_hits a on a.seed_id is not distinct from g.seed_id and a.source_url is not distinct from g.source_url left join trigger_hits t on t.seed_id is not distinct from g.seed_id and t.source_url is not distinct from g.source_url""")
 def _(t):
     out = fusion.merge_reasons(t, ["seed_id", "source_url"])
     return out.select("seed_id", "source_url", F.array_join("anchor_hits", ",").alias("anchor_hits"), F.array_join("trigger_hits", ",").alias("trigger_hits"), "nearby_anchor", "window_expanded", "window_from_sentence_idx")
