@@ -408,6 +408,35 @@ def _(s, r, e):
     return found.select("source_id", "seed_id", "sentence_idx", "event_type", "trigger", arg("Person").alias("person"), arg("Organization").alias("organization"))
 
 
+_LINKED = f"""s0 as (select source_id, sentence_idx, min(sentence) sentence from sentences group by 1,2),
+ l as (select source_id, seed_id, seed_qid, sentence_idx, list({{'q':coalesce(chosen_qid,''),'m':mention,'n':coalesce(ner_label,'')}} order by row_id) l from resolved where mention is not null group by 1,2,3,4),
+ b as (select *, {_zh('sentence')}<0.08 en, list_filter(l,lambda x: x.n='PER' and starts_with(x.q,'Q')) pers, regexp_extract(sentence,'(?:^|[^\\p{{L}}\\p{{N}}_])((?:19|20)[0-9]{{2}})(?:[^\\p{{L}}\\p{{N}}_]|$)',1) as yr from l join s0 using (source_id, sentence_idx))"""
+
+
+def _triggers_sql(event: str) -> str:
+    return f"case when en then {_case(_T[event]['en'])} else {_case(_T[event]['zh'])} end"
+
+
+@query("award_events", "sentences", "resolved", "entity_map", sql=f"with {_LINKED}, t as (select *, {_triggers_sql('AwardEvent')} as trigger from b) select source_id, seed_id, sentence_idx, trigger, unnest(pers[1:2]).q as recipient, seed_qid as award, yr as year from t where trigger is not null")
+def _(s, r, e):
+    arg = lambda role, field: F.coalesce(F.get(F.filter("args", lambda a: a["role"] == role), F.lit(0))[field], F.lit(""))
+    found = events.award_events(pipeline.linked_sentences(r, s), pipeline.names(e))
+    return found.select("source_id", "seed_id", "sentence_idx", "trigger", arg("Recipient", "qid").alias("recipient"), arg("Award", "qid").alias("award"), arg("Time", "mention").alias("year"))
+
+
+_PHRASE = f"trim(regexp_replace(trim(case when en then regexp_extract(sentence,'(?i)\\b(?:proposed|introduced|published)\\b\\s+(?:the\\s+|a\\s+|an\\s+)?([^,.;]{{3,80}})',1) else regexp_extract(sentence,'(?:提出|发表|发表于)([^。；，]{{2,60}})',1) end,' '),'^[{MARKS}]+|[{MARKS}]+$','','g'),' ')"
+
+
+@query("publication_events", "sentences", "resolved", "entity_map", sql=f"""with {_LINKED}, nm as (select mention, arg_max(qid,line_no) qid from (select line_no, trim(alias,' ') mention, regexp_replace(wikidata_id,'\\s+','','g') qid from entity_map) where coalesce(mention,'')<>'' and coalesce(qid,'')<>'' group by 1),
+ t as (select *, {_triggers_sql('PublicationEvent')} as trigger, {_PHRASE} phrase, case when seed_id='seed_person' then seed_qid else pers[1].q end person from b), u as (select t.*, nm.qid nq, list_filter(l,lambda x: starts_with(x.q,'Q') and x.q<>person and x.n in ('ORG','LOC'))[1] other from t left join nm on nm.mention=phrase where trigger is not null and person is not null),
+ v as (select *, case when seed_id='seed_machine' then seed_qid else coalesce(nq,other.q,'') end object_qid, case when seed_id='seed_machine' then seed_qid when nq is not null then phrase else coalesce(other.m,phrase) end object_mention from u)
+ select source_id, seed_id, sentence_idx, trigger, person, object_qid, object_mention, yr as year from v where object_qid<>'' or object_mention<>''""")
+def _(s, r, e):
+    arg = lambda role, field: F.coalesce(F.get(F.filter("args", lambda a: a["role"] == role), F.lit(0))[field], F.lit(""))
+    found = events.publication_events(pipeline.linked_sentences(r, s), pipeline.names(e), config.PERSON_SEED, config.CONCEPT_SEED)
+    return found.select("source_id", "seed_id", "sentence_idx", "trigger", arg("Person", "qid").alias("person"), arg("WorkOrConcept", "qid").alias("object_qid"), arg("WorkOrConcept", "mention").alias("object_mention"), arg("Time", "mention").alias("year"))
+
+
 # Events of the stream table stand for found ones where SQL shall check keys, counts and edges.
 _EV = """ev as (select event_id, case event_type when 'click' then 'AwardEvent' when 'view' then 'EmploymentEvent' else 'PublicationEvent' end event_type, 'Q'||user_id k1, 'Q'||(500000+event_id%97) k2, case when event_id%5=0 then '' else '20'||lpad((event_id%30)::varchar,2,'0') end k3 from events where event_type in ('click','view','purchase')),
  ck as (select *, 'EVT_CAN_'||substr(sha1(concat_ws('|',event_type,k1,k2,k3)),1,12) can_id from ev)"""
