@@ -60,9 +60,11 @@ def _quoted(s: str) -> str:
 def forms_sql(column: str, source: str) -> str:
     """SQL that adds plain and skeleton to the rows of source."""
     one, more = _compat()
-    first = f"translate(nfc_normalize({column}), {_quoted(''.join(one))}, {_quoted(''.join(one.values()))})"
+    mapped = f"translate(nfc_normalize({column}), {_quoted(''.join(one))}, {_quoted(''.join(one.values()))})"
     for c, p in more.items():
-        first = f"replace({first}, {_quoted(c)}, {_quoted(p)})"
+        mapped = f"replace({mapped}, {_quoted(c)}, {_quoted(p)})"
+    blocks = "".join(f"\\x{{{a:X}}}-\\x{{{z:X}}}" for a, z in COMPAT_BLOCKS)
+    first = f"case when regexp_matches({column}, '[{blocks}]') then {mapped} else nfc_normalize({column}) end"
     clean = f"trim(nfc_normalize(regexp_replace({first}, '{INVISIBLE}', '', 'g')), ' ')"
     like, plain = ("".join(x[k] for x in LOOK_ALIKES) for k in (0, 1))
     return f"select *, translate(plain, {_quoted(like)}, {_quoted(plain)}) as skeleton from (select *, {clean} as plain from {source})"
