@@ -64,13 +64,15 @@ def tokens(text) -> Column:
     return F.array_distinct(F.filter(words, lambda w: F.length(w) > 1))
 
 
-def _jaccard(a: Column, b: Column) -> Column:
+def set_jaccard(a, b) -> Column:
+    """Jaccard similarity of two arrays of distinct values, 0 where one is empty. Where they are expensive, give columns."""
+    a, b = _col(a), _col(b)
     both = F.size(F.array_intersect(a, b))
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(both / F.size(F.array_union(a, b)))
 
 
 def token_jaccard(a, b) -> Column:
-    return _jaccard(tokens(a), tokens(b))
+    return set_jaccard(tokens(a), tokens(b))
 
 
 def char_ngrams(text, n: int = 3) -> Column:
@@ -81,7 +83,7 @@ def char_ngrams(text, n: int = 3) -> Column:
 
 
 def ngram_jaccard(a, b, n: int = 3) -> Column:
-    return _jaccard(char_ngrams(a, n), char_ngrams(b, n))
+    return set_jaccard(char_ngrams(a, n), char_ngrams(b, n))
 
 
 def hits(text, patterns: Column) -> Column:

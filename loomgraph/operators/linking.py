@@ -72,18 +72,29 @@ def candidates(found: DataFrame) -> DataFrame:
     return first.withColumn("ord", F.row_number().over(order) - 1).filter(F.col("ord") < MAX_CANDIDATES).select("mention", "ord", "id", F.col("f.label").alias("label"), F.col("f.description").alias("description"))
 
 
-def score(mention, context, label, description, position) -> Column:
-    """How well a candidate fits: its label, the words it shares with the context, its n-grams, its place in the list."""
-    m, lab = F.lower(F.trim(F.col(mention))), F.coalesce(F.trim(F.col(label)), F.lit(""))
-    bonus = F.when(F.lower(lab) == m, 0.4).when((lab != "") & F.contains(F.lower(lab), m), 0.22).otherwise(0.0)
-    overlap = T.token_jaccard(F.coalesce(F.col(context), F.lit("")), F.concat_ws(" ", lab, F.coalesce(F.col(description), F.lit(""))))
-    prior = F.greatest(F.lit(0.0), 0.12 - 0.015 * F.col(position))
-    return bonus + 0.55 * overlap + 0.35 * T.ngram_jaccard(F.col(mention), lab) + prior
+def with_mention_sets(mentions: DataFrame) -> DataFrame:
+    """mentions in context with their words and n-grams, which are worked out once, before candidates join them."""
+    return mentions.withColumns({"_context": T.tokens(F.coalesce("context", F.lit(""))), "_m": T.char_ngrams("mention")})
+
+
+def with_candidate_sets(candidates_: DataFrame) -> DataFrame:
+    lab = F.coalesce(F.trim("label"), F.lit(""))
+    return candidates_.withColumns({"_said": T.tokens(F.concat_ws(" ", lab, F.coalesce("description", F.lit("")))), "_l": T.char_ngrams(lab)})
 
 
 def scored(pairs: DataFrame) -> DataFrame:
-    """pairs of mentions in context and candidates, with their score."""
-    return pairs.filter(F.col("id").startswith("Q")).withColumn("score", score("mention", "context", "label", "description", "ord"))
+    """pairs of mentions in context and candidates (mention, context, id, label, description, ord), with their score: by
+    the label, the words that candidate and context share, the n-grams of mention and label, the place in the list.
+
+    The sets come from with_mention_sets and with_candidate_sets; where they are missing they are worked out here.
+    """
+    m, lab = F.lower(F.trim("mention")), F.coalesce(F.trim("label"), F.lit(""))
+    sets = pairs.filter(F.col("id").startswith("Q"))
+    sets = sets if "_m" in pairs.columns else with_mention_sets(sets)
+    sets = sets if "_l" in pairs.columns else with_candidate_sets(sets)
+    bonus = F.when(F.lower(lab) == m, 0.4).when((lab != "") & F.contains(F.lower(lab), m), 0.22).otherwise(0.0)
+    prior = F.greatest(F.lit(0.0), 0.12 - 0.015 * F.col("ord"))
+    return sets.withColumn("score", bonus + 0.55 * T.set_jaccard("_context", "_said") + 0.35 * T.set_jaccard("_m", "_l") + prior).drop("_context", "_said", "_m", "_l")
 
 
 def accepted(rows: DataFrame, keys: list[str], min_score: float = MIN_SCORE) -> DataFrame:
