@@ -200,7 +200,7 @@ def learn(stats: DataFrame) -> Lexicon:
     follow: dict = {}
     wanted = stats.filter("kind = 'F'").groupBy("lang", "a").agg(
         F.sum("n").alias("all"),
-        F.sum(F.when(F.col("b").isin("a", "0", "C"), F.col("n")).otherwise(0)).alias("low"),
+        F.sum(F.when(F.col("b").isin("a", "0"), F.col("n")).otherwise(0)).alias("low"),
         F.sum(F.when(F.concat_ws("\u0001", "lang", "b").isin(["\u0001".join(s) for s in lex.starters]), F.col("n")).otherwise(0)).alias("start"),
     )
     for r in wanted.filter(F.col("all") >= 3).filter(F.col("all") >= floor / 10).collect():
@@ -224,7 +224,7 @@ def learn(stats: DataFrame) -> Lexicon:
         whole = by.get((r["lang"], r["b"]))
         seen = whole["C"] if whole else r["n"]
         f = follow.get((r["lang"], "##"))
-        if f and r["n"] > 0.3 * seen and (r["lang"], r["b"]) not in lex.starters and _llr(r["n"], f["all"], max(seen - r["n"], 0), max(total.get(("C", r["lang"]), 1), 1)) > COLLOCATION_LLR:
+        if f and r["lang"] not in ("zh", "ja") and r["n"] > 0.3 * seen and (r["lang"], r["b"]) not in lex.starters and _llr(r["n"], f["all"], max(seen - r["n"], 0), max(total.get(("C", r["lang"]), 1), 1)) > COLLOCATION_LLR:
             lex.ordinal.add((r["lang"], r["b"]))
     return lex
 
