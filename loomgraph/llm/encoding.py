@@ -67,6 +67,7 @@ SINGLE = (SingleByte("cp1252", also_latin1=True), SingleByte("cp1251"), SingleBy
 
 _LATIN = re.compile(r"^[ -ſ]+$")
 _CYRILLIC_TEXT = re.compile(r"[а-яё]")
+_HAN_TEXT = re.compile(r"[㐀-鿿぀-ヿ]{20}|[㐀-鿿]{8}.*[㐀-鿿]{8}", re.DOTALL)
 _CYRILLIC_LETTERS = re.compile(r"^[А-яЁё]+$")
 _LETTER = re.compile(r"[A-Za-z]")
 _WIDE = r"‐-‧‰-›€№™　-ヿ㐀-鿿＀-￮"
@@ -79,6 +80,11 @@ _UTF8_NEAR_LOSS = re.compile(rb"(?:[\xe2-\xe9\xef][\x80-\xbf]{2}){2,}")
 _LOSS = re.compile("[\ufffd\ue000-\uf8ff\x1a]")
 _SJIS_RUN = re.compile(r"(?:[\x81-\x9f‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸà-ï][@-~\x80-ü€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]){2,}")
 _CYR_ANY = re.compile(r"[À-ÿ¨¸]{2,}(?:[ ,.\-«»]+[À-ÿ¨¸]+)*")
+_CYR_LETTER = re.compile(r"[Ѐ-ӿ]")
+_SWAPPED_WORD = r"[а-яёЂ-џ]?[А-ЯЁЂ-Џ][А-ЯЁЂ-џ]*(?![а-я])"
+_SWAPPED_HINT = re.compile(r"[а-яё][А-ЯЁ]{2}|[А-ЯЁ]{5}")
+_SWAPPED_RUN = re.compile(rf"(?<![Ѐ-ӿ]){_SWAPPED_WORD}(?:[^A-Za-zЀ-ӿ\n]{{1,6}}{_SWAPPED_WORD}){{2,}}")
+_BIG5_MARKS = "﹝﹞﹜﹛ㄛㄗㄘㄐㄥㄦㄩㄨ※§＃岆腔湮悝珨祥笭摯芞"
 _BIG5_ODD = re.compile(r"[ㄅ-ㄩ﹐-﹫︰-︿岆腔湮悝珨祥]")
 _REPLACED = re.compile("(?:锟斤拷)+锟?|\ufffd+")
 _KANA = re.compile(r"[぀-ヿ]")
@@ -115,6 +121,7 @@ def _single_spans(text: str):
     """Spans by the encodings of one byte a character. A few Cyrillic letters alone may stand there by chance; they
     count where the text has a longer span of the same encoding."""
     cyrillic = len(_CYRILLIC_TEXT.findall(text))
+    wide = bool(_HAN_TEXT.search(text))
     for codec in SINGLE:
         sure, short = [], []
         for a, b, decoded in codec.spans(text):
@@ -123,7 +130,7 @@ def _single_spans(text: str):
                 if not good or len(decoded) < 4:
                     continue
             n = len(decoded)
-            if n == 1 and decoded > "\u2fff" and decoded != "\ufffd":
+            if n == 1 and decoded > "\u2fff" and decoded != "\ufffd" and not wide:
                 continue  # one wide character alone comes about by chance, as in an accented letter before an ellipsis
             span = (a, b, decoded, codec.codec)
             if codec.codec == "cp1251" and cyrillic > 20 and n < 3:
@@ -152,7 +159,7 @@ def _sjis_as_latin(text: str):
     for m in _SJIS_RUN.finditer(text):
         raw = bytes(back.get(c, ord(c)) for c in m[0])
         decoded = raw.decode("cp932", "replace")
-        if len(_KANA.findall(decoded)) >= 2 and _share(decoded) >= 0.7:
+        if len(_KANA.findall(decoded)) >= (1 if _KANA.search(text) else 2) and _share(decoded) >= 0.5:
             yield m.start(), m.end(), decoded, "sjis-as-cp1252"
 
 
@@ -168,13 +175,52 @@ def _cyrillic_as_latin(text: str):
             yield m.start(), m.end(), best, "cyrillic-as-latin1"
 
 
+def _odd_stretches(run: str):
+    """(from, to) of the stretches of a wide run between characters that are out of common use, with at most two others
+    between them."""
+    odd = [i for i, c in enumerate(run) if not _common(c) or c in _BIG5_MARKS]
+    start = None
+    for i, j in zip(odd, [*odd[1:], 1 << 30], strict=False):
+        start = i if start is None else start
+        if j - i > 3:
+            yield start, i + 1
+            start = None
+
+
 def _gbk_as_big5(text: str):
-    """GBK bytes read as Big5: wide runs that decode to characters in far commoner use than those that stand there."""
+    """GBK bytes read as Big5: stretches of wide characters that decode to far commoner ones than those that stand there."""
     for m in _WIDE_RUN.finditer(text):
-        raw = m[0].encode("big5hkscs", "replace")
-        decoded = raw.decode("gbk", "replace")
-        if len(m[0]) >= 4 and _share(decoded) >= 0.8 and _share(m[0]) < 0.5:
-            yield m.start(), m.end(), decoded, "gbk-as-big5"
+        for x, y in [(0, len(m[0]))] if _share(m[0]) < 0.5 else _odd_stretches(m[0]):
+            part = m[0][x:y]
+            if len(part) < 4:
+                continue
+            decoded = part.encode("big5hkscs", "replace").decode("gbk", "replace")
+            if _share(decoded) >= 0.8 and _share(part) < 0.65:
+                yield m.start() + x, m.start() + y, decoded, "gbk-as-big5"
+
+
+def _vowels(s: str) -> float:
+    letters = _CYR_LETTER.findall(s)
+    return sum(c in "аеёиоуыэюя" for c in s.lower()) / max(len(letters), 1)
+
+
+def _cyrillic_swapped(text: str):
+    """Cyrillic of one byte a letter read as another such encoding: capitals and small letters change places there. A run
+    of such words is garbled where another reading has small letters and the vowels of a language."""
+    for m in _SWAPPED_RUN.finditer(text):
+        if len(_CYR_LETTER.findall(m[0])) < 10:
+            continue
+        best = None
+        for read, true in (("cp1251", "koi8-r"), ("koi8-r", "cp1251")):
+            try:
+                decoded = m[0].encode(read).decode(true)
+            except UnicodeError:
+                continue
+            small = len(_CYRILLIC_TEXT.findall(decoded)) / max(len(_CYR_LETTER.findall(decoded)), 1)
+            if small > 0.8 and _vowels(decoded) > _vowels(m[0]) + 0.05 and (best is None or _vowels(decoded) > _vowels(best)):
+                best = decoded
+        if best:
+            yield m.start(), m.end(), best, "cyrillic-swapped"
 
 
 def _utf8_as_gbk(text: str):
@@ -243,6 +289,8 @@ def spans(text: str) -> list[tuple[int, int, str, str]]:
         found += _utf8_as_gbk(text)
         if _BIG5_ODD.search(text):
             found += _gbk_as_big5(text)
+    if _SWAPPED_HINT.search(text):
+        found += _cyrillic_swapped(text)
     for m in _REPLACED.finditer(text):
         found.append((m.start(), m.end(), m[0], "lost"))
     found.sort(key=lambda s: (-(s[1] - s[0]), s[0]))
