@@ -286,4 +286,7 @@ def unmatched(resolved: DataFrame, entity_map: DataFrame) -> DataFrame:
     """The mentions that no alias reaches, with how many rows have them, most frequent first by rank."""
     done = found(resolved, entity_map).filter("wikidata_id = ''").select("row_id")
     counted = resolved.join(done, "row_id", "left_semi").groupBy("ner_label", "mention").agg(F.count("*").alias("rows"))
-    return counted.withColumn("rank", F.dense_rank().over(Window.partitionBy("ner_label").orderBy(F.desc("rows"))))
+    # ranks are worked out over the different counts only, which are few, however many mentions there are
+    levels = counted.select("ner_label", "rows").distinct()
+    ranked = levels.withColumn("rank", F.dense_rank().over(Window.partitionBy("ner_label").orderBy(F.desc("rows"))))
+    return counted.join(ranked, ["ner_label", "rows"]).select("ner_label", "mention", "rows", "rank")
