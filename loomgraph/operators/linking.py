@@ -72,6 +72,20 @@ def candidates(found: DataFrame) -> DataFrame:
     return first.withColumn("ord", F.row_number().over(order) - 1).filter(F.col("ord") < MAX_CANDIDATES).select("mention", "ord", "id", F.col("f.label").alias("label"), F.col("f.description").alias("description"))
 
 
+def search(mentions: DataFrame, listed: DataFrame, limit: int = CANDIDATES_BY_LANGUAGE) -> DataFrame:
+    """mention, id, label, rank: the limit most relevant entities for each distinct mention, of all listed aliases that
+    begin as it does (two characters). An entity counts once, by the alias that fits best: by label, then by n-grams."""
+    once = mentions.select("mention").filter(F.length("mention") >= 2).distinct()
+    m = F.lower(F.trim("mention"))
+    sized = once.withColumns({"head": F.lower(F.substring("mention", 1, 2)), "_m": T.char_ngrams("mention")})
+    known = listed.filter(F.length("alias") >= 2).select(F.substring("alias", 1, 2).alias("head"), F.col("qid").alias("id"), F.col("alias").alias("label"), T.char_ngrams("alias").alias("_l"))
+    fit = F.when(F.col("label") == m, 0).when(F.contains("label", m), 1).otherwise(2)
+    met = sized.join(known, "head").withColumns({"fit": fit, "minus": -T.set_jaccard("_m", "_l")})
+    best = met.groupBy("mention", "id").agg(F.min(F.struct("fit", "minus", "label")).alias("f"))
+    order = Window.partitionBy("mention").orderBy("f.fit", "f.minus", "f.label", "id")
+    return best.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < limit).select("mention", "id", F.col("f.label").alias("label"), "rank")
+
+
 def with_mention_sets(mentions: DataFrame) -> DataFrame:
     """mentions in context with their words and n-grams, which are worked out once, before candidates join them."""
     return mentions.withColumns({"_context": T.tokens(F.coalesce("context", F.lit(""))), "_m": T.char_ngrams("mention")})

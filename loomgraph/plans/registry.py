@@ -6,7 +6,7 @@ by value.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ship
@@ -298,11 +298,9 @@ _SEARCH = f"""{_ALIASES}, ix as (select substr(alias,1,2) head, qid id, alias la
 
 
 def _search(t: DataFrame, e: DataFrame) -> DataFrame:
-    known = linking.aliases(e).filter(F.length("alias") >= 2).withColumn("head", F.substring("alias", 1, 2))
-    index = known.withColumn("rank", F.row_number().over(Window.partitionBy("head").orderBy("alias", "qid")) - 1).filter("rank < 10")
     pairs = t.select(F.col("object_mention").alias("mention"), F.col("evidence_sentence").alias("context")).filter("length(mention) >= 2").distinct()
-    found = linking.with_candidate_sets(index.select("head", F.col("qid").alias("id"), F.col("alias").alias("label"), F.col("rank").alias("ord"), F.lit("").alias("description")))
-    return linking.with_mention_sets(pairs).withColumn("head", F.lower(F.substring("mention", 1, 2))).join(found, "head").drop("head")
+    hits = linking.search(pairs, linking.aliases(e)).select("mention", "id", "label", F.col("rank").alias("ord"), F.lit("").alias("description"))
+    return linking.with_mention_sets(pairs).join(linking.with_candidate_sets(hits), "mention")
 
 
 _SCORE = f"""sx as (select mention, context, id, ord, b + 0.55*{_jac('ca','la')} + 0.35*{_jac('mg','lg')} + greatest(0.0,0.12-0.015*ord) score from (

@@ -48,6 +48,28 @@ def test_routing_of_the_shipped_seeds(spark):
     assert routing.routing_rows(empty, routing.top_seeds(routing.scores(empty, config.SEEDS))).count() == 0
 
 
+def test_search_ranks_all_aliases_for_each_mention(spark):
+    listed = spark.createDataFrame([(f"turaa {i:02d}", f"Q{i}", i) for i in range(12)] + [("turing", "Q100", 50), ("turing machine", "Q101", 51), ("turing m.", "Q101", 52)], "alias string, qid string, line_no int")
+    ms = spark.createDataFrame([("Turing",), ("turing machine",), ("Turing",), ("t",), (None,), ("zzz",)], "mention string")
+    got = {}
+    for r in linking.search(ms, listed).orderBy("mention", "rank").collect():
+        got.setdefault(r["mention"], []).append((r["rank"], r["id"], r["label"]))
+    assert set(got) == {"Turing", "turing machine"} and all([x[0] for x in v] == list(range(10)) for v in got.values())
+    assert got["Turing"][:2] == [(0, "Q100", "turing"), (1, "Q101", "turing m.")] and got["turing machine"][0] == (0, "Q101", "turing machine")
+    assert linking.search(ms.limit(0), listed).count() == 0
+
+
+def test_link_accept_reaches_every_alias_of_a_head(spark, tmp_path):
+    from loomgraph.plans import registry
+
+    rows = [(i, f"turaa {i:02d}", f"Q{i}", "x") for i in range(12)] + [(99, "Turing", "Q100", "x")]
+    spark.createDataFrame(rows, "line_no int, alias string, wikidata_id string, kind string").write.parquet(str(tmp_path / "entity_map.parquet"))
+    spark.createDataFrame([("Turing", "by Turing")], "object_mention string, evidence_sentence string").write.parquet(str(tmp_path / "triples_extracted.parquet"))
+    got = {q: registry.QUERIES[q](spark, str(tmp_path)).collect() for q in ("link_accept", "candidate_topk", "candidate_score")}
+    assert [r["qid"] for r in got["link_accept"]] == ["Q100"] and ("Q100", 0) in {(r["id"], r["ord"]) for r in got["candidate_topk"]}
+    assert "Q100" in {r["id"] for r in got["candidate_score"]} and len(got["candidate_score"]) == 10
+
+
 def test_context_rules_and_longest_alias(spark):
     assert one(spark, "Turing", linking.context_override("x", F.lit("a universal Turing machine"))) == "Q163310"
     assert one(spark, "Turing", linking.context_override("x", F.lit("the Turing Award of 1966"))) == "Q185667"
