@@ -138,7 +138,7 @@ def wrong_words(stats: DataFrame) -> DataFrame:
 def wrong_pairs(stats: DataFrame) -> tuple[DataFrame, list[tuple[str, str, bool]]]:
     """Trigrams that only scans have, with the character that other text has between the same neighbours; and the
     pairs of characters that enough different neighbours show, at most as many as there are pairs in use, each with
-    whether other text never has the first."""
+    whether other text never has the first; of a character's partners the one with the most comes first."""
     t = stats.filter("kind = 't'").withColumn("ctx", F.concat(F.substring("key", 1, 1), F.substring("key", 3, 1))).withColumn("c", F.substring("key", 2, 1))
     han = t.filter(F.col("c").rlike("[㐀-鿿]"))
     best = han.groupBy("ctx").agg(F.max_by("c", "clean").alias("right"), F.max("clean").alias("n"))
@@ -150,7 +150,8 @@ def wrong_pairs(stats: DataFrame) -> tuple[DataFrame, list[tuple[str, str, bool]
     # of a character's partners only one that has the most votes is its look-alike, unless it doesn't stand elsewhere at all
     top = pairs.withColumn("most", F.max("contexts").over(Window.partitionBy("c")))
     kept = top.filter((F.col("contexts") * 2 >= F.col("most")) & ((F.col("c_clean") * 2 <= F.col("c_scan")) | (F.col("strong") >= PAIR_CONTEXTS)) & (F.col("odd_scan") * ODD_SHARE >= F.col("c_scan")))
-    return hit, [(r["c"], r["right"], r["c_clean"] == 0) for r in kept.select("c", "right", "c_clean").collect()]
+    rows = sorted(kept.select("c", "right", "c_clean", "contexts").collect(), key=lambda r: (r["c"], -r["contexts"], r["right"]))
+    return hit, [(r["c"], r["right"], r["c_clean"] == 0) for r in rows]
 
 
 def volumes(pdf_sources: DataFrame) -> DataFrame:
@@ -206,7 +207,8 @@ def _header_regex(found: tuple[str, ...]):
 
 
 def take_apart(text: str, found: tuple[str, ...], first: int | None, last: int | None):
-    """(text without headers and framed page numbers, had a header, framed page numbers, bare numbers with the word before)."""
+    """(text without headers and framed page numbers, had a header, framed page numbers, bare numbers with the
+    words before and after and their span)."""
     had = False
     rx = _header_regex(found)
     if rx:
@@ -239,17 +241,46 @@ def take_apart(text: str, found: tuple[str, ...], first: int | None, last: int |
             if wide:
                 if left.endswith(".") and not own_line:
                     continue
-                bare.append((number, "", ""))
+                bare.append((number, "", "", m.span()))
             else:
-                bare.append((number, before[1].lower() if before and not before[2] else "", after[0].lower() if after else ""))
+                bare.append((number, before[1].lower() if before and not before[2] else "", after[0].lower() if after else "", m.span()))
     return text, had, pages, bare
 
 
+def _broken(m) -> tuple[str, str] | None:
+    """(the word joined, the word with its hyphen) of a break that may be within a word."""
+    return ((m[1] + m[2]).lower(), f"{m[1]}-{m[2]}".lower()) if m[2][0].islower() or "\xad" in m[0] or "¬" in m[0] else None
+
+
+def _without(text: str, spans: list[tuple[int, int]]) -> str:
+    for a, b in sorted(spans, reverse=True):
+        text = f"{text[:a]}\n{text[b:]}"
+    return text
+
+
+def wide_places(text: str, suspects: set) -> list[tuple[str, str, int]]:
+    """(trigram, two characters on both sides, place in text) of each suspect wide character."""
+    at = [i for i, c in enumerate(text) if not c.isspace()]
+    flat, places, done = [], [], 0
+    bare = "".join(text[i] for i in at)
+    for m in _DIGITS.finditer(bare):
+        flat += [*bare[done:m.start()], "#"]
+        places += [*at[done:m.start()], -1]
+        done = m.end()
+    flat, places = "".join([*flat, bare[done:]]), places + at[done:]
+    out = []
+    for m in _WIDE_RUN.finditer(flat):
+        run = f"^^{m[0]}$$"
+        out += [(run[i - 1:i + 2], run[i - 2:i] + run[i + 1:i + 3], places[m.start() + i - 2]) for i, c in enumerate(run) if c in suspects]
+    return out
+
+
 PIECES = "row_id bigint, source_id string, idx int, kind string, key string, other string, number int"
 
 
-def pieces(rows: DataFrame, pairs: list[tuple[str, str, bool]]) -> DataFrame:
-    """What each scanned row has that may be damage. rows: row_id, source_id, sentence_idx, sentence, first, last, headers."""
+def pieces(rows: DataFrame, pairs: list[tuple[str, str, bool]], for_text: bool = False) -> DataFrame:
+    """What each scanned row has that may be damage: with all its words, or (for_text) with all places to repair. rows:
+    row_id, source_id, sentence_idx, sentence, first, last, headers."""
     shared = rows.sparkSession.sparkContext.broadcast(({c for c, _, _ in pairs}, {c for c, _, never in pairs if never}))
 
     def run(batches):
@@ -262,22 +293,22 @@ def pieces(rows: DataFrame, pairs: list[tuple[str, str, bool]]) -> DataFrame:
                 if had:
                     out.append((rid, src, idx, "header", "", "", None))
                 out.extend((rid, src, idx, "page", "", "", n) for n in pages)
-                out.extend((rid, src, idx, "bare", before, after, n) for n, before, after in bare)
+                out.extend((rid, src, idx, "bare", before, after, n) for n, before, after, _ in bare)
                 for m in _BREAK.finditer(clean):
-                    if m[2][0].islower() or "\xad" in m[0] or "¬" in m[0]:
+                    if both := _broken(m):
                         sure = "1" if "\xad" in m[0] or "¬" in m[0] else ""
-                        out.append((rid, src, idx, "break", (m[1] + m[2]).lower(), f"{m[1]}-{m[2]}".lower() + "|" + sure, None))
+                        out.append((rid, src, idx, "break", both[0], both[1] + "|" + sure, None))
+                if bare and for_text:
+                    # words that come together where the numbers between turn out to be page numbers
+                    over = {both for m in _BREAK.finditer(_without(clean, [x[3] for x in bare])) if (both := _broken(m))}
+                    out.extend((rid, src, idx, "over", key, hyphened + "|", None) for key, hyphened in over)
                 joined = _BREAK.sub(r"\1\2", clean)
-                out.extend((rid, src, idx, "word", w, "", None) for w in {w for w in _WORD.findall(joined.lower()) if len(w) > 1 and not w.isdigit() and not _WIDE.search(w)})
+                if not for_text:
+                    out.extend((rid, src, idx, "word", w, "", None) for w in {w for w in _WORD.findall(joined.lower()) if len(w) > 1 and not w.isdigit() and not _WIDE.search(w)})
                 if never.intersection(joined):
                     out.append((rid, src, idx, "never", "", "", None))
-                elif suspects.intersection(joined):
-                    flat = _DIGITS.sub("#", re.sub(r"\s+", "", joined))
-                    for wide in _WIDE_RUN.findall(flat):
-                        run_ = f"^^{wide}$$"
-                        for i, c in enumerate(run_):
-                            if c in suspects:
-                                out.append((rid, src, idx, "wide", run_[i - 1:i + 2], run_[i - 2:i] + run_[i + 1:i + 3], None))
+                if suspects.intersection(joined) and (for_text or not never.intersection(joined)):
+                    out.extend((rid, src, idx, "wide", key, other, None) for key, other, _ in wide_places(joined, suspects))
             cols = list(zip(*out, strict=True)) if out else [[]] * 7
             kinds = (pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in PIECES.split(", ")])
@@ -296,15 +327,8 @@ def prepared(sentences: DataFrame, pdf_sources: DataFrame) -> DataFrame:
     return rows.join(hint(found_), "source_id", "left")
 
 
-def found(sentences: DataFrame, pdf_sources: DataFrame) -> DataFrame:
-    """(row_id, kind) of each kind of damage in the rows of scanned volumes."""
-    stats = written(statistics(sentences), "scan-stats")
-    rows = prepared(sentences, pdf_sources)
-    odd, pairs = wrong_pairs(stats)
-    every = written(pieces(rows, pairs), "scan-pieces")
-
-    header = every.filter("kind = 'header'").select("row_id", F.lit("header").alias("kind"))
-    page = every.filter("kind = 'page'").select("row_id", F.lit("page_number").alias("kind"))
+def bare_pages(every: DataFrame, stats: DataFrame) -> DataFrame:
+    """(row_id, number, key, other): bare numbers between their two words that are page numbers."""
     # a bare number is a page number where the framed ones around it leave room for it and no number is due there
     blocks = every.filter("kind = 'page'").select("source_id", F.floor(F.col("idx") / BLOCK).alias("block"), "idx", "number")
     near = blocks.select("source_id", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block"), "idx", "number")
@@ -314,32 +338,52 @@ def found(sentences: DataFrame, pdf_sources: DataFrame) -> DataFrame:
     bare = bare.withColumn("s_before", skeleton(F.col("key"))).withColumn("s_after", skeleton(F.col("other"))).join(before, "s_before", "left").join(after, "s_after", "left")
     bare = bare.filter("due_b is null and due_a is null")
     room = (
-        bare.select("row_id", "source_id", "block", "idx", "number")
+        bare.select("row_id", "source_id", "block", "idx", "number", "key", "other")
         .join(near.select("source_id", "block", F.col("idx").alias("p_idx"), F.col("number").alias("p")), ["source_id", "block"], "left")
-        .groupBy("row_id", "number")
+        .groupBy("row_id", "number", "key", "other")
         .agg(F.max(F.when(F.col("p_idx") <= F.col("idx"), F.col("p"))).alias("low"), F.min(F.when(F.col("p_idx") >= F.col("idx"), F.col("p"))).alias("high"))
     )
     fits = room.filter((F.col("low").isNull() | (F.col("number") >= F.col("low") - 1)) & (F.col("high").isNull() | (F.col("number") <= F.col("high") + 1)))
-    bare_page = fits.select("row_id", F.lit("page_number").alias("kind"))
+    return fits.select("row_id", "number", "key", "other")
+
 
+def joins(every: DataFrame, stats: DataFrame, kinds: tuple = ("break",)) -> DataFrame:
+    """(row_id, key, hyphened): breaks within a word that has no hyphen of its own."""
     words = stats.filter("kind = 'w'").withColumn("skeleton", skeleton(F.col("key")))
     known = words.groupBy("skeleton").agg(F.max("clean").alias("known"))
     hyphened = stats.filter("kind = 'y'").select(F.col("key").alias("hyphened"), F.col("clean").alias("as_hyphened"))
-    cut = every.filter("kind = 'break'").select("row_id", "key", F.substring_index("other", "|", 1).alias("hyphened"), F.col("other").endswith("1").alias("sure"))
+    cut = every.filter(F.col("kind").isin(*kinds)).select("row_id", "key", F.substring_index("other", "|", 1).alias("hyphened"), F.col("other").endswith("1").alias("sure"))
     cut = cut.withColumn("skeleton", skeleton(F.col("key"))).join(known, "skeleton", "left").join(hyphened, "hyphened", "left").na.fill(0, ["known", "as_hyphened"])
-    broken = cut.filter(F.col("sure") | (F.col("known") >= F.col("as_hyphened"))).select("row_id", F.lit("broken_word").alias("kind"))
+    return cut.filter(F.col("sure") | (F.col("known") >= F.col("as_hyphened"))).select("row_id", "key", "hyphened")
 
-    wrong = every.filter("kind = 'word'").select("row_id", F.col("key").alias("word")).join(wrong_words(stats).select("word"), "word").select("row_id", F.lit("wrong_char").alias("kind"))
-    never = every.filter("kind = 'never'").select("row_id", F.lit("wrong_char").alias("kind"))
+
+def wide_corrections(every: DataFrame, stats: DataFrame, odd: DataFrame, pairs: list[tuple]) -> DataFrame:
+    """(row_id, key, other, right): misread wide characters within their contexts."""
     wide = every.filter("kind = 'wide'").select("row_id", "key", "other")
     table = _pairs_table(every, pairs)
     keyed = wide.join(odd.select("key", "right"), "key").withColumn("c", F.substring("key", 2, 1)).join(table, ["c", "right"])
     # the context must support the other character on one more side
     side_left = F.concat(F.substring("other", 1, 2), F.col("right"))
     side_right = F.concat(F.col("right"), F.substring("other", 3, 2))
-    sides = keyed.select("row_id", F.explode(F.array(side_left, side_right)).alias("side"))
+    sides = keyed.select("row_id", "key", "other", "right", F.explode(F.array(side_left, side_right)).alias("side"))
     support = stats.filter("kind = 't' and clean >= 2").select(F.col("key").alias("side"))
-    wrong_wide = sides.join(support, "side").select("row_id", F.lit("wrong_char").alias("kind"))
+    return sides.join(support, "side").select("row_id", "key", "other", "right")
+
+
+def found(sentences: DataFrame, pdf_sources: DataFrame) -> DataFrame:
+    """(row_id, kind) of each kind of damage in the rows of scanned volumes."""
+    stats = written(statistics(sentences), "scan-stats")
+    rows = prepared(sentences, pdf_sources)
+    odd, pairs = wrong_pairs(stats)
+    every = written(pieces(rows, pairs), "scan-pieces")
+
+    header = every.filter("kind = 'header'").select("row_id", F.lit("header").alias("kind"))
+    page = every.filter("kind = 'page'").select("row_id", F.lit("page_number").alias("kind"))
+    bare_page = bare_pages(every, stats).select("row_id", F.lit("page_number").alias("kind"))
+    broken = joins(every, stats).select("row_id", F.lit("broken_word").alias("kind"))
+    wrong = every.filter("kind = 'word'").select("row_id", F.col("key").alias("word")).join(wrong_words(stats).select("word"), "word").select("row_id", F.lit("wrong_char").alias("kind"))
+    never = every.filter("kind = 'never'").select("row_id", F.lit("wrong_char").alias("kind"))
+    wrong_wide = wide_corrections(every, stats, odd, pairs).select("row_id", F.lit("wrong_char").alias("kind"))
     out = header.unionByName(page).unionByName(bare_page).unionByName(broken).unionByName(wrong).unionByName(never).unionByName(wrong_wide)
     return out.distinct()
 
@@ -364,26 +408,59 @@ def corrections(sentences: DataFrame, pdf_sources: DataFrame) -> DataFrame:
     return wrong_words(stats).select(F.col("word").alias("wrong"), "right").unionByName(table)
 
 
+def repair(text: str, bare: list, decided: list[dict], suspects: set, never: dict[str, str]) -> str:
+    """A row's text without headers and framed page numbers, with what was decided about its pieces: wide characters in
+    their contexts (those that no other text has, in any), bare page numbers, and joins; other breaks keep the hyphen."""
+    wide = {(d["key"], d["other"]): d["right"] for d in decided if d["kind"] == "wide"}
+    pages = {(d["number"], d["key"], d["other"]) for d in decided if d["kind"] == "bare"}
+    whole = {(d["key"], d["other"]) for d in decided if d["kind"] == "break"}
+    if suspects.intersection(text):
+        at, done = [], 0
+        for m in _BREAK.finditer(text):
+            at += [*range(done, m.end(1)), *range(m.start(2), m.end())]
+            done = m.end()
+        at += range(done, len(text))
+        chars = list(text)
+        for key, other, place in wide_places("".join(text[i] for i in at), suspects):
+            chars[at[place]] = wide.get((key, other)) or never.get(key[1], key[1])
+        text = "".join(chars)
+    text = _without(text, [x[3] for x in bare if x[:3] in pages])
+    return _BREAK.sub(lambda m: m[0] if (both := _broken(m)) is None else m[1] + m[2] if both in whole else f"{m[1]}-{m[2]}", text)
+
+
 def volume_text(sentences: DataFrame, pdf_sources: DataFrame) -> DataFrame:
     """(source_id, block, paragraph, text): each volume's continuous text, in blocks of TEXT_BLOCK sentence indexes,
     whose paragraphs end where a sentence ends and enough text has come together."""
     rows = prepared(sentences, pdf_sources)
     stats = written(statistics(sentences), "scan-stats")
     right = wrong_words(stats).select("word", "right")
+    odd, pairs = wrong_pairs(stats)
+    every = written(pieces(rows, pairs, for_text=True), "scan-pieces")
+    none, no_number = F.lit("").alias("right"), F.lit(None).cast("int").alias("number")
+    fixes = (
+        bare_pages(every, stats).select("row_id", F.lit("bare").alias("kind"), "key", "other", none, "number")
+        .unionByName(joins(every, stats, ("break", "over")).select("row_id", F.lit("break").alias("kind"), "key", F.col("hyphened").alias("other"), none, no_number))
+        .unionByName(wide_corrections(every, stats, odd, pairs).select("row_id", F.lit("wide").alias("kind"), "key", "other", "right", no_number))
+    )
+    fixes = fixes.groupBy("row_id").agg(F.collect_set(F.struct("kind", "key", "other", "right", "number")).alias("decided"))
+    shared = rows.sparkSession.sparkContext.broadcast(pairs)
 
     def run(batches):
+        suspects = {c for c, _, _ in shared.value}
+        never = {c: r for c, r, only in reversed(shared.value) if only}
         for batch in batches:
             cols: list[list] = [[], [], [], []]
-            for rid, src, idx, text, first, last, heads in zip(*(batch.column(c).to_pylist() for c in ("row_id", "source_id", "sentence_idx", "sentence", "first", "last", "headers")), strict=True):
+            for rid, src, idx, text, first, last, heads, decided in zip(*(batch.column(c).to_pylist() for c in ("row_id", "source_id", "sentence_idx", "sentence", "first", "last", "headers", "decided")), strict=True):
                 a, b = page_range(src)
-                clean, _, pages, _ = take_apart(text, tuple(heads or ()), a if first is None else first, last if last is not None or first is not None else b)
-                clean = _BREAK.sub(lambda m: m[1] + m[2] if m[2][0].islower() or "-" not in m[0] else m[0], clean)
+                clean, _, _, bare = take_apart(text, tuple(heads or ()), a if first is None else first, last if last is not None or first is not None else b)
+                clean = repair(clean, bare, decided or [], suspects, never)
                 clean = re.sub(r"(?<=[㐀-鿿，。；：、])\s+|\s+(?=[㐀-鿿，。；：、])", "", clean)
                 clean = re.sub(r"\s+", " ", clean).strip()
                 for c, v in zip(cols, (rid, src, idx, clean), strict=True):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.string(), pa.int32(), pa.string()), strict=True)], ["row_id", "source_id", "idx", "text"])
 
+    rows = rows.join(fixes, "row_id", "left")
     clean = rows.mapInArrow(run, "row_id bigint, source_id string, idx int, text string")
     tokens = clean.select("row_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([\p{L}\d]+)"), F.lit(1)))).alias("token"))
     fixes = tokens.withColumn("word", F.lower("token")).join(right, "word").groupBy("row_id").agg(F.map_from_entries(F.collect_set(F.struct("token", "right"))).alias("fixes"))

@@ -36,6 +36,19 @@ def test_text_is_continuous(spark):
     assert "The committee preferred the machine. The committee" in text and "SILENT DRUM" not in text and "[21]" not in text and "[99]" in text
 
 
+def test_text_has_what_was_found(spark):
+    """Bare page numbers go and due numbers stay, wide characters are put right, compounds keep their hyphen."""
+    v = "file:scans/v.pdf#pages=20-29"
+    more = {1020: "The committee preferred\n23\nthe machine.", 1021: "The comm-\n24\nittee preferred it."}
+    clean = [(2000 + i, f"book:{i % 5}", 1000 + i, t, "x") for i, t in enumerate([r[3] for r in corpus() if r[0] < 1000] * 5)]
+    df = spark.createDataFrame(corpus() + clean + [(k, v, 20 + n, t, "x") for n, (k, t) in enumerate(more.items())], ROW)
+    pdf = spark.createDataFrame([("scans/v.pdf", 20, 29, "scan 3")], PDF)
+    text = " ".join(r["text"] for r in scans.volume_text(df, pdf).orderBy("block", "paragraph").collect())
+    assert "preferred the machine" in text and "23" not in text and "24" not in text and "The committee preferred it" in text
+    assert "A well-oiled letter" in text and "welloiled" not in text and "held 12 entries" in text
+    assert "札" not in text and "这台机器从来没有停过" in text and "没有人见过机器" in text
+
+
 def test_helpers():
     assert scans.page_range("file:scans/v.pdf#pages=29-20") == (20, 29)
     assert scans.page_range("file:scans/v.pdf#pages=5-") == (5, None)
