@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -19,6 +19,8 @@ RANGES = {
 }
 PLACE_PROPS = tuple(RANGES["Location"].split())
 TAU = 0.5
+#: Bags of each label that a network is trained on at most; they are gathered in the driver. Predictions are made of all bags.
+TRAIN_BAGS = 100
 
 
 class Encoder:
@@ -44,6 +46,10 @@ class Encoder:
         pieces = [np.where(m & (ids > 0)[:, :, None], h, 0).max(1) for m in (pos <= a, (pos > a) & (pos <= b), pos > b)]
         return np.tanh(np.concatenate(pieces, -1) @ self.hidden)
 
+    def encode_all(self, ids: np.ndarray, e1: np.ndarray, e2: np.ndarray, step: int = 64) -> np.ndarray:
+        """encode in steps, so a bag of many instances takes no more memory than one step; padding changes nothing."""
+        return np.concatenate([self.encode(ids[i:i + step], e1[i:i + step], e2[i:i + step]) for i in range(0, len(ids), step)])
+
     def bag(self, reps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(class probabilities, attention of each class over the instances)."""
         att = self.query @ reps.T
@@ -57,7 +63,7 @@ class Encoder:
 def train(encoder: Encoder, bags: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]], epochs: int = 15, rate: float = 0.05) -> Encoder:
     """Fits the output layer to labelled bags (a bounded sample, gathered by the caller) over the encoder's features, with
     class weights that are the inverse of their share, between 0.5 and 20."""
-    feats = [encoder.encode(ids, e1, e2).mean(0) for ids, e1, e2, _ in bags]
+    feats = [encoder.encode_all(ids, e1, e2).mean(0) for ids, e1, e2, _ in bags]
     x, y = np.array(feats), np.array([b[3] for b in bags])
     share = np.bincount(y, minlength=len(encoder.labels)) / max(len(y), 1)
     weight = np.clip(1 / np.maximum(share * len(encoder.labels), 1e-6), 0.5, 20)
@@ -72,6 +78,29 @@ def train(encoder: Encoder, bags: list[tuple[np.ndarray, np.ndarray, np.ndarray,
     return encoder
 
 
+def tensors(bags: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
+    """bag_id, ids, e1, e2 of bags (bag_id, texts array<string>, e1, e2): whole sentences by the vocabulary (1 for other
+    characters), padded to the longest of the bag."""
+    shared = bags.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches):
+        known = shared.value
+        for batch in batches:
+            ids = []
+            for texts in batch.column("texts").to_pylist():
+                size = max(map(len, texts), default=0)
+                ids.append([[known.get(c, 1) for c in t] + [0] * (size - len(t)) for t in texts])
+            yield pa.RecordBatch.from_arrays([batch.column("bag_id"), pa.array(ids, pa.list_(pa.list_(pa.int32()))), batch.column("e1"), batch.column("e2")], ["bag_id", "ids", "e1", "e2"])
+
+    return bags.select("bag_id", "texts", "e1", "e2").mapInArrow(run, "bag_id string, ids array<array<int>>, e1 array<int>, e2 array<int>")
+
+
+def sample(labelled: DataFrame, most: int = TRAIN_BAGS) -> DataFrame:
+    """bag_id, label: at most so many bags of each label, by hash order."""
+    order = Window.partitionBy("label").orderBy(F.sha1("bag_id"), "bag_id")
+    return labelled.select("bag_id", "label").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most).drop("place")
+
+
 PREDICTED = "bag_id string, predicted_label string, predicted_prob double, top_instance int, top_score double, class_probs array<struct<label:string,score:double>>"
 
 
@@ -86,7 +115,7 @@ def predict(tensors: DataFrame, encoder: Encoder) -> DataFrame:
             for bag, ids, e1, e2 in zip(*(batch.column(c).to_pylist() for c in ("bag_id", "ids", "e1", "e2")), strict=True):
                 if not ids:
                     continue
-                p, att = model.bag(model.encode(np.array(ids), np.array(e1), np.array(e2)))
+                p, att = model.bag(model.encode_all(np.array(ids), np.array(e1), np.array(e2)))
                 top = int(p.argmax())
                 best = int(att[top].argmax())
                 row = (bag, model.labels[top], float(p[top]), best, float(att[top, best]), [{"label": n, "score": float(v)} for n, v in zip(model.labels, p, strict=True)])

@@ -6,6 +6,7 @@ by value.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -692,17 +693,24 @@ def _(p, t):
     return inference.with_support(rows, facts)
 
 
-@query("pcnn_predict", "resolved", "sentences")
-def _(r, s):
+@query("pcnn_predict", *_DS_TABLES)
+def _(r, s, t, schema):
     cells = supervision.bag_cells(r, s).filter("mention is not null")
-    code = F.transform(F.filter(F.split("sentence", ""), lambda c: c != ""), lambda c: (F.ascii(c) % 997 + 2).cast("int"))
-    ids = F.slice(F.concat(code, F.array_repeat(F.lit(0), 96)), 1, 96)
     e1, e2 = supervision.entity_places("sentence", F.array(F.lit("塞尔鲁瑟"), F.lit("停机引理")), F.col("mention"))
-    cell = F.struct("sentence_idx", ids.alias("ids"), F.least(e1, F.lit(95)).alias("e1"), F.least(e2, F.lit(95)).alias("e2"))
+    cell = F.struct("sentence_idx", "sentence", e1.cast("int").alias("e1"), e2.cast("int").alias("e2"))
     bags = cells.groupBy("bag_id").agg(F.sort_array(F.collect_list(cell)).alias("c"))
-    pick = lambda k: F.transform("c", lambda x: x[k]).alias(k)
-    model = inference.Encoder(["NA", "P91004", "P91006", "P91007"], 1000)
-    out = inference.predict(bags.select("bag_id", pick("ids"), pick("e1"), pick("e2")), model)
+    pick = lambda k, name: F.transform("c", lambda x: x[k]).alias(name)
+    known = {x["c"]: x["id"] for x in supervision.vocabulary(cells, "sentence").select("c", "id").collect()}
+    tensors = inference.tensors(bags.select("bag_id", pick("sentence", "texts"), pick("e1", "e1"), pick("e2", "e2")), known)
+    seeds = r.sparkSession.createDataFrame([(x.seed_id, x.type) for x in config.WORLD], "seed_id string, seed_type string")
+    spaces = supervision.label_space(seeds, schema.select(F.explode("subject_types").alias("seed_type"), "prop_id"))
+    labels = ["NA", *sorted(x["p"] for x in spaces.select(F.explode("space").alias("p")).distinct().collect())]
+    model = inference.Encoder(labels, len(known) + 2)
+    chosen = inference.sample(supervision.multiclass(_labelled(r, s, t, schema)))
+    rows = tensors.join(F.broadcast(chosen), "bag_id").orderBy("bag_id").collect()
+    if rows:
+        inference.train(model, [(np.array(x["ids"]), np.array(x["e1"]), np.array(x["e2"]), labels.index(x["label"])) for x in rows])
+    out = inference.predict(tensors, model)
     return out.select("bag_id", "predicted_label", F.round("predicted_prob", 4).alias("predicted_prob"), "top_instance")
 
 

@@ -208,3 +208,37 @@ def test_trained_encoder_separates_classes():
     inference.train(enc, bags)
     right = sum(enc.bag(enc.encode(ids, a, b))[0].argmax() == y for ids, a, b, y in bags)
     assert right >= 55
+
+
+def test_tensors_hold_whole_sentences(spark):
+    import numpy as np
+
+    long = "甲" * 150 + "乙丙"
+    df = spark.createDataFrame([("b", [long, "乙?"], [0, 0], [150, 1])], "bag_id string, texts array<string>, e1 array<int>, e2 array<int>")
+    row = inference.tensors(df, {"甲": 2, "乙": 3, "丙": 4}).first()
+    assert row["ids"] == [[2] * 150 + [3, 4], [3, 1] + [0] * 150] and row["e2"] == [150, 1]
+    enc = inference.Encoder(["NA", "P1"], 5)
+    ids, e1, e2 = np.array(row["ids"]), np.array(row["e1"]), np.array(row["e2"])
+    assert np.allclose(enc.encode_all(ids, e1, e2, step=1), enc.encode(ids, e1, e2)) and np.allclose(enc.encode(ids[1:, :2], e1[1:], e2[1:]), enc.encode(ids, e1, e2)[1:], atol=1e-6)
+    many = spark.createDataFrame([(f"{i:03d}", "NA" if i else "P1") for i in range(150)], "bag_id string, label string")
+    assert sorted((r["label"], r["count"]) for r in inference.sample(many).groupBy("label").count().collect()) == [("NA", 100), ("P1", 1)]
+
+
+def test_pcnn_predict_learns_labels_from_what_follows(spark, tmp_path):
+    from loomgraph.plans import registry
+
+    fill = "塞尔鲁瑟在这里做了很多年的事情没有人知道为什么也没有人来问"
+    rs, ss, ts = [], [], []
+    seed = next(x for x in config.WORLD if x.seed_id == "seed_person")
+    for i in range(40):
+        q = f"Q9{i:03d}"
+        ss.append((f"s{i}", 0, fill * 4 + ("金银铜铁锡铅" if i % 2 else "红黄蓝绿紫白") * 4 + f"甲{i}"))
+        rs.append((f"s{i}", 0, "seed_person", seed.qid, q, f"甲{i}", "ORG"))
+        if i % 2:
+            ts.append((seed.qid, "P7", q))
+    spark.createDataFrame(rs, "source_id string, sentence_idx int, seed_id string, seed_qid string, chosen_qid string, mention string, ner_label string").write.parquet(str(tmp_path / "resolved.parquet"))
+    spark.createDataFrame(ss, "source_id string, sentence_idx int, sentence string").write.parquet(str(tmp_path / "sentences.parquet"))
+    spark.createDataFrame(ts, "subject_qid string, predicate_prop_id string, object_qid string").write.parquet(str(tmp_path / "triples_extracted.parquet"))
+    spark.createDataFrame([("P7", [seed.type]), ("P8", [seed.type])], "prop_id string, subject_types array<string>").write.parquet(str(tmp_path / "relation_schema.parquet"))
+    got = {r["bag_id"]: r["predicted_label"] for r in registry.QUERIES["pcnn_predict"](spark, str(tmp_path)).collect()}
+    assert len(got) == 40 and sum(got[f"s{i}|seed_person|Q9{i:03d}"] == ("P7" if i % 2 else "NA") for i in range(40)) >= 36
