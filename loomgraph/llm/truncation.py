@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import script_lang, spread
 
 ORDERS = (3, 6, 10)
-#: Contexts are hashed into so many buckets for each order: the size of everything that is broadcast.
-BUCKETS = 1 << 21
+#: Bits of a hash by which most positions are passed over before the wanted contexts are looked up exactly.
+SIEVE_BITS = 20
 #: Log-odds from which a value is put forward to the exact check, and from which it is cut where nothing can be checked.
 FORWARD = -1.5
 START_THRESHOLD = 1.5
@@ -40,7 +40,7 @@ FIELDS = ("evidence_sentence", "snippet", "reasons", "top_sentence")
 
 
 def _hashes(cp: np.ndarray) -> dict[int, np.ndarray]:
-    """order -> bucket of the context that ends at each position (0 before the text's start is part of it)."""
+    """order -> 64-bit hash of the context that ends at each position (0 before the text's start is part of it)."""
     out = {}
     acc = np.zeros(len(cp), np.uint64)
     shifted = cp.astype(np.uint64)
@@ -50,10 +50,24 @@ def _hashes(cp: np.ndarray) -> dict[int, np.ndarray]:
         acc ^= acc >> np.uint64(29)
         shifted = np.concatenate([np.zeros(1, np.uint64), shifted[:-1]])
         if n in ORDERS:
-            out[n] = ((acc >> np.uint64(20)) % np.uint64(BUCKETS)).astype(np.int64)
+            out[n] = acc.view(np.int64)
     return out
 
 
+def _sieve(keys: np.ndarray) -> np.ndarray:
+    out = np.zeros(1 << SIEVE_BITS, bool)
+    out[keys & ((1 << SIEVE_BITS) - 1)] = True
+    return out
+
+
+def _places(h: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The place of each hash in the sorted keys, -1 where it isn't one of them."""
+    if not len(keys):
+        return np.full(len(h), -1)
+    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+    return np.where(keys[at] == h, at, -1)
+
+
 _PAD = "\0" * max(ORDERS)
 
 
@@ -82,10 +96,10 @@ def _values(batch, fields):
 
 
 def _end_contexts(rows: DataFrame, fields: tuple) -> tuple[dict[int, np.ndarray], dict]:
-    """The contexts at the ends of values (at most BUCKETS for each order), and the length histograms."""
+    """The distinct contexts at the ends of values, sorted for each order, and the length histograms."""
 
     def scan(batches):
-        seen = {n: np.zeros(BUCKETS, bool) for n in ORDERS}
+        seen = {n: np.zeros(0, np.int64) for n in ORDERS}
         lengths: dict[tuple[str, int], int] = {}
         for batch in batches:
             for f, texts in _values(batch, fields):
@@ -96,9 +110,9 @@ def _end_contexts(rows: DataFrame, fields: tuple) -> tuple[dict[int, np.ndarray]
                 if tails:
                     cp, ends = _cps(tails)
                     for n, h in _hashes(cp).items():
-                        seen[n][h[ends]] = True
+                        seen[n] = np.union1d(seen[n], h[ends])
         for n in ORDERS:
-            keys = np.flatnonzero(seen[n])
+            keys = seen[n]
             yield pa.RecordBatch.from_arrays([pa.array([f"#{n}"] * len(keys), pa.string()), pa.array(keys, pa.int64()), pa.array(np.ones(len(keys), np.int64))], ["kind", "key", "n"])
         yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in lengths], pa.string()), pa.array([k for _, k in lengths], pa.int64()), pa.array(list(lengths.values()), pa.int64())], ["kind", "key", "n"])
 
@@ -106,8 +120,7 @@ def _end_contexts(rows: DataFrame, fields: tuple) -> tuple[dict[int, np.ndarray]
     got = counted.filter(F.col("kind").startswith("#") | (F.col("n") >= SPIKE_LEAST)).toPandas()
     marks, hist = {}, {}
     for n in ORDERS:
-        marks[n] = np.zeros(BUCKETS, bool)
-        marks[n][got["key"][got["kind"] == f"#{n}"].to_numpy(np.int64)] = True
+        marks[n] = np.sort(got["key"][got["kind"] == f"#{n}"].to_numpy(np.int64))
     rest = got[~got["kind"].str.startswith("#")]
     for f, k, v in zip(rest["kind"], rest["key"], rest["n"], strict=True):
         hist[f, int(k)] = int(v)
@@ -137,13 +150,14 @@ def _ends_after(cp: np.ndarray, field: str) -> np.ndarray:
     return np.where(at_stop, (nxt == 0) | np.isin(nxt, _STOP_CPS) | ~small & ~latin_close, before_stop)
 
 
-def _count(rows: DataFrame, fields: tuple, shared) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """order -> (occurrences, ends) of each wanted context over every position of every value."""
+def _count(rows: DataFrame, fields: tuple, shared) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """order -> (contexts, occurrences, ends) of the wanted contexts over every position of every value."""
 
     def scan(batches):
-        marks = {n: np.unpackbits(b, count=BUCKETS).astype(bool) for n, b in shared.value.items()}
-        total = {n: np.zeros(BUCKETS, np.int64) for n in ORDERS}
-        end = {n: np.zeros(BUCKETS, np.int64) for n in ORDERS}
+        marks = shared.value
+        sieves = {n: _sieve(keys) for n, keys in marks.items()}
+        total = {n: np.zeros(len(marks[n]), np.int64) for n in ORDERS}
+        end = {n: np.zeros(len(marks[n]), np.int64) for n in ORDERS}
         for batch in batches:
             for f, texts in _values(batch, fields):
                 texts = [t if f == "reasons" else body(t)[0] for t in texts if t]
@@ -152,28 +166,26 @@ def _count(rows: DataFrame, fields: tuple, shared) -> dict[int, tuple[np.ndarray
                 cp, ends = _cps(texts)
                 is_end = _ends_after(cp, f)
                 for n, h in _hashes(cp).items():
-                    use = marks[n][h] & (cp != 0)
+                    use = sieves[n][h & ((1 << SIEVE_BITS) - 1)] & (cp != 0)
                     if f != "reasons":
                         # a value's own last character tells nothing where no stop stands: what follows may have been cut
                         last = ends[~np.isin(cp[ends], _STOP_CPS)]
                         use[last] = False
-                    total[n] += np.bincount(h[use], minlength=BUCKETS)
-                    end[n] += np.bincount(h[use & is_end], minlength=BUCKETS)
+                    at = _places(h[use], marks[n])
+                    total[n] += np.bincount(at[at >= 0], minlength=len(marks[n]))
+                    end[n] += np.bincount(at[(at >= 0) & is_end[use]], minlength=len(marks[n]))
         for n in ORDERS:
-            keys = np.flatnonzero(total[n])
+            seen = np.flatnonzero(total[n])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(keys), n, np.int32)), pa.array(keys, pa.int64()), pa.array(total[n][keys]), pa.array(end[n][keys])], ["order", "key", "total", "ends"]
+                [pa.array(np.full(len(seen), n, np.int32)), pa.array(marks[n][seen], pa.int64()), pa.array(total[n][seen]), pa.array(end[n][seen])], ["order", "key", "total", "ends"]
             )
 
     counted = rows.mapInArrow(scan, "order int, key bigint, total bigint, ends bigint")
     got = counted.groupBy("order", "key").agg(F.sum("total").alias("total"), F.sum("ends").alias("ends")).toPandas()
     out = {}
     for n in ORDERS:
-        mine = got[got["order"] == n]
-        total, end = np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, np.float32)
-        at = mine["key"].to_numpy(np.int64)
-        total[at], end[at] = mine["total"].to_numpy(), mine["ends"].to_numpy()
-        out[n] = (total, end)
+        mine = got[got["order"] == n].sort_values("key")
+        out[n] = (mine["key"].to_numpy(np.int64), mine["total"].to_numpy(np.float32), mine["ends"].to_numpy(np.float32))
     return out
 
 
@@ -181,9 +193,9 @@ class Model:
     """Continuation odds of the wanted contexts, and the prior of each length."""
 
     def __init__(self, counts, hist):
-        self.counts = {n: (np.flatnonzero(t), t[np.flatnonzero(t)], e[np.flatnonzero(t)]) for n, (t, e) in counts.items()}
+        self.counts = counts
         whole = counts[ORDERS[0]]
-        self.base = float((whole[1].sum() + 1) / (whole[0].sum() + 50))
+        self.base = float((whole[2].sum() + 1) / (whole[1].sum() + 50))
         self.prior = {}
         by: dict[str, dict[int, int]] = {}
         for (f, size), n in hist.items():
@@ -195,21 +207,15 @@ class Model:
                 if n > 2.5 * usual and n - usual >= SPIKE_LEAST / 2:
                     self.prior[f, size] = math.log((n - usual) / usual)
 
-    def unpack(self):
-        for n, (at, t, e) in self.counts.items():
-            total, end = np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, np.float32)
-            total[at], end[at] = t, e
-            self.counts[n] = (total, end)
-        return self
-
     def odds(self, texts: list[str], field: str) -> np.ndarray:
         """Log-odds of continuation against end at each text's final context, by interpolating the orders."""
         cp, ends = _cps([_context(t[-80:], field)[-max(ORDERS):] for t in texts])
         p = np.full(len(texts), self.base)
         for n, h in _hashes(cp).items():
-            total, end = self.counts[n]
-            at = h[ends]
-            p = (end[at] + 2 * p) / (total[at] + 2)
+            keys, total, end = self.counts[n]
+            at = _places(h[ends], keys)
+            known = at >= 0
+            p[known] = (end[at[known]] + 2 * p[known]) / (total[at[known]] + 2)
         p = np.clip(p, 1e-4, 1 - 1e-4)
         return np.log1p(-p) - np.log(p)
 
@@ -217,7 +223,7 @@ class Model:
 def _train(rows: DataFrame, fields: tuple, learn_from: tuple):
     spark = rows.sparkSession
     marks, hist = _end_contexts(rows, fields)
-    shared = spark.sparkContext.broadcast({n: np.packbits(m) for n, m in marks.items()})
+    shared = spark.sparkContext.broadcast(marks)
     counts = _count(rows, learn_from, shared)
     return spark.sparkContext.broadcast(Model(counts, hist))
 
@@ -229,8 +235,7 @@ def scored(rows: DataFrame, tab: str, fields: tuple, shared, every: bool = False
     """The values that the model puts forward (every: all values), with their odds."""
 
     def run(batches):
-        model = shared.value.unpack() if not hasattr(shared.value, "ready") else shared.value
-        model.ready = True
+        model = shared.value
         for batch in batches:
             ids, src, idx = (batch.column(c).to_pylist() for c in ("row_id", "source", "idx"))
             cols: list[list] = [[] for _ in range(12)]

@@ -82,3 +82,18 @@ def test_cut_values(spark):
     rate = {(r["tab"], r["field_name"]): r["cut"] for r in truncation.rates(t, p, s).groupBy("tab", "field_name").agg({"cut": "sum"}).withColumnRenamed("sum(cut)", "cut").collect()}
     assert rate[t_, "reasons"] == 1
     assert truncation.found(t.limit(0), p.limit(0), s.limit(0)).count() == 0
+
+
+def test_contexts_are_counted_exactly(spark):
+    """Each wanted context has its own count, however many others the corpus has."""
+    import random
+
+    rng = random.Random(1)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=200)) for _ in range(15_000)] + ["we saw the silent drum"] * 7 + ["we saw the silent drum. And then"] * 5
+    rows = spark.createDataFrame([(t,) for t in texts], "v string").repartition(4)
+    wanted = truncation._hashes(truncation._cps(["we saw the silent drum"])[0])[10][-1:]
+    shared = spark.sparkContext.broadcast({n: truncation._end_contexts(rows, ("v",))[0][n] for n in truncation.ORDERS})
+    keys, total, ends = truncation._count(rows, ("v",), shared)[10]
+    at = truncation._places(wanted, keys)[0]
+    assert total[at] == 5 and ends[at] == 5
+    assert (truncation._places(truncation._hashes(truncation._cps(["zzzzzzzzzzzz"])[0])[10][-1:], keys) == -1).all()
