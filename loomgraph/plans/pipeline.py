@@ -50,8 +50,9 @@ def from_curated(sentences: DataFrame, resolved: DataFrame, triples: DataFrame,
 
 
 def full(chunks: DataFrame, seeds: list, entity_map: DataFrame, how: routing.Routing = routing.Routing()) -> dict[str, DataFrame]:
-    """Sentences, routing, mentions, links and triples from chunks. Mentions are those of listed names and numbers; a model
-    takes their place through mentions.by_model."""
+    """Sentences, routing, mentions, links and triples from chunks. Mentions are numbers and template slots only, and
+    listed names are linked but not searched for; the README says which stages are left out. A model takes the place of
+    these mentions through mentions.by_model."""
     sentences = readers.sentence_rows(chunks)
     top = routing.top_seeds(routing.scores(sentences, seeds, how), how)
     attributed = routing.derived(top, sentences, how)
