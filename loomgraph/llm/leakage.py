@@ -1,9 +1,10 @@
 """Evaluation items that leaked into a corpus (problem 7).
 
-Pigeonhole edit matching: an item's own text (without an instruction that several items share) is cut into
-overlapping windows, each window into one piece more than its error budget, so that a window within its budget
-leaves some piece untouched. All pieces are searched for at once in every whole document; windows with a hit
-are verified by Myers' bit-parallel distance, and the verified windows' share of the item decides.
+Pigeonhole edit matching: an item's own text (without an instruction that several items share) is cut into pieces;
+every run of one piece more than the error budget is a window, so that a window within its budget leaves some piece
+untouched. All pieces are searched for at once in every whole document; windows with a hit, most of whose halves of
+pieces stand about where they are due (the budget leaves that many), are verified by Myers' bit-parallel distance, and
+the verified windows' share of the item decides. No step before the verification loses a window within the budget.
 
 Defined results: null and empty texts and items match nothing; repeated documents are each reported; an item
 whose text is nothing but a shared instruction matches by that text; ties can't occur, as every pair above the
@@ -14,18 +15,18 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spread
+from .common import spread, written
 
 SHARE = 0.4
-#: (window, error budget that the pieces guarantee, edits accepted) in normalised characters, for Latin-like and for wide scripts.
-LATIN = (40, 2, 8)
-WIDE = (16, 2, 3)
+#: (least length of a piece in normalised characters, error budget of a window), for Latin-like and for wide scripts.
+LATIN = (9, 3)
+WIDE = (5, 2)
 #: An opening sentence that so many items have is an instruction.
 SHARED_BY = 3
 #: Items are searched for in blocks of so many, so that what is broadcast has a bound whatever the number of items.
@@ -46,18 +47,26 @@ def normal(text: str) -> str:
     return _FOLDABLE.sub(lambda m: _FOLD[m[0]], text)
 
 
-def own_texts(items: list[tuple[int, str]]) -> dict[int, str]:
-    """Normalised text of each item without its shared opening sentences."""
-    split = {i: [s for s in _SENT.split(t or "") if s.strip()] for i, t in items}
-    first = Counter(normal(s[0]) for s in split.values() if s)
-    out = {}
-    for i, s in split.items():
-        while len(s) > 1 and first[normal(s[0])] >= SHARED_BY:
-            s = s[1:]
-        text = normal("".join(s))
-        if text:
-            out[i] = text
-    return out
+def own_texts(items: DataFrame) -> DataFrame:
+    """(item_id, own): normalised text of each item without its shared opening sentences, which are counted over all items."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for i, text in zip(batch.column("item_id").to_pylist(), batch.column("item_text").to_pylist(), strict=True):
+                said = [normal(s) for s in _SENT.split(text) if s.strip()]
+                rows += [(i, k, s, len(said)) for k, s in enumerate(said)]
+            cols = zip(*rows, strict=True) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.string(), pa.int32()), strict=True)], ["item_id", "pos", "said", "n"])
+
+    once = items.filter(F.col("item_id").isNotNull() & F.col("item_text").isNotNull()).groupBy("item_id").agg(F.min("item_text").alias("item_text"))
+    said = once.mapInArrow(run, "item_id bigint, pos int, said string, n int")
+    shared = said.filter("pos = 0").groupBy("said").agg(F.count("*").alias("by")).filter(F.col("by") >= SHARED_BY).withColumn("shared", F.lit(True)).drop("by")
+    marked = said.join(shared, "said", "left")
+    start = F.least(F.coalesce(F.min(F.when(F.col("shared").isNull(), F.col("pos"))), F.max("n") - 1), F.max("n") - 1)
+    whole = marked.groupBy("item_id").agg(start.alias("start"), F.sort_array(F.collect_list(F.struct("pos", "said"))).alias("all"))
+    own = F.array_join(F.transform(F.filter("all", lambda s: s["pos"] >= F.col("start")), lambda s: s["said"]), "")
+    return whole.select("item_id", own.alias("own")).filter("own <> ''")
 
 
 def _wide(text: str) -> bool:
@@ -88,132 +97,103 @@ def myers(pattern_masks: dict[str, int], m: int, text: str, limit: int) -> int:
 
 
 class Matcher:
-    """All items' windows and pieces, and the automaton over the pieces."""
+    """All items' pieces and windows, and the automaton over the pieces.
+
+    An item is cut into pieces of equal length; every run of budget + 1 pieces is a window, so that a window within its
+    budget of edits has a piece without any, wherever the edits are. Nothing within the budget is missed.
+    """
 
     def __init__(self, own: dict[int, str]):
         import ahocorasick
 
         self.own = own
-        self.windows: dict[int, list[tuple[int, int, int]]] = {}
-        self.pieces: dict[str, dict[int, int]] = {}
-        self.places: dict[int, dict[str, list[tuple[int, int]]]] = {}
-        self.need: dict[int, int] = {}
+        self.cuts: dict[int, list[int]] = {}
+        self.budget: dict[int, int] = {}
+        self.reach: dict[int, int] = {}
+        self.halves: dict[int, list[tuple[str, int, int]]] = {}
+        self.pieces: dict[str, dict[int, list[int]]] = {}
         for item, text in own.items():
-            size, budget, accept = WIDE if _wide(text) else LATIN
-            step = size // 2
-            starts = list(range(0, max(len(text) - size, 0) + 1, step))
-            if starts[-1] + size < len(text):
-                starts.append(len(text) - size)
-            spans = []
-            for w, a in enumerate(starts):
-                b = min(a + size, len(text))
-                spans.append((a, b, max(1, accept * (b - a) // size) if b - a >= 4 else 0))
-                cuts = [a + (b - a) * k // (budget + 1) for k in range(budget + 2)]
-                for x, y in zip(cuts, cuts[1:], strict=False):
-                    piece = text[x:y]
-                    if piece:
-                        masks = self.pieces.setdefault(piece, {})
-                        masks[item] = masks.get(item, 0) | 1 << w
-                        self.places.setdefault(item, {}).setdefault(piece, []).append((w, x))
-            self.windows[item] = spans
-            # A document that covers the share has hits in as many windows, less those cut by the ends of two passages.
-            self.need[item] = max(1, int(SHARE * len(spans) * 0.6))
+            size, edits = WIDE if _wide(text) else LATIN
+            n = max(1, len(text) // size)
+            self.cuts[item] = [len(text) * k // n for k in range(n + 1)]
+            self.budget[item] = min(edits, n - 1)
+            # a hit tells of the windows that it is in, and of less than a piece beyond them on either side
+            self.reach[item] = self.budget[item] + 1
+            spans = list(zip(self.cuts[item], self.cuts[item][1:], strict=False))
+            for k, (x, y) in enumerate(spans):
+                self.pieces.setdefault(text[x:y], {}).setdefault(item, []).append(k)
+            parts = [p for x, y in spans for p in ((x, (x + y) // 2), ((x + y) // 2, y))]
+            self.halves[item] = [(text[x:y], x, y) for x, y in parts]
         self.automaton = ahocorasick.Automaton()
-        for piece, masks in self.pieces.items():
-            self.automaton.add_word(piece, (piece, tuple(masks.items())))
+        for piece, places in self.pieces.items():
+            self.automaton.add_word(piece, (len(piece), tuple(places.items())))
         if self.pieces:
             self.automaton.make_automaton()
         self._masks: dict = {}
 
-    def _pattern(self, item: int, w: int) -> dict[str, int]:
-        key = (item, w)
+    def _pattern(self, item: int, a: int, b: int) -> dict[str, int]:
+        key = (item, a)
         if key not in self._masks:
-            a, b, _ = self.windows[item][w]
             masks: dict[str, int] = {}
             for k, c in enumerate(self.own[item][a:b]):
                 masks[c] = masks.get(c, 0) | 1 << k
             self._masks[key] = masks
         return self._masks[key]
 
-    def candidates(self, text: str) -> dict[int, dict[str, list[int]]]:
-        """Items with hits in enough of their windows, with the places of the pieces hit."""
+    def candidates(self, text: str) -> dict[int, list[tuple[int, int]]]:
+        """Items with the (piece, place) of all hits, without those whose hits can't make up the share."""
         if not self.pieces:
             return {}
-        hits: dict[str, list[int]] = {}
-        seen: dict[int, int] = {}
-        for end, (piece, masks) in self.automaton.iter(text):
-            at = hits.get(piece)
-            if at is None:
-                hits[piece] = [end + 1 - len(piece)]
-                for item, mask in masks:
-                    seen[item] = seen.get(item, 0) | mask
-            else:
-                at.append(end + 1 - len(piece))
-        return {item: hits for item, mask in seen.items() if mask.bit_count() >= self.need[item]}
-
-    def covered(self, item: int, text: str, hits: dict[str, list[int]]) -> float:
-        """Share of the item's own text that the document repeats."""
-        own = self.own[item]
-        spans = self.windows[item]
-        by_slot: dict[int, list] = {}
-        for piece, places in self.places[item].items():
-            at = hits.get(piece)
-            if at:
-                for w, x in places:
-                    for p in at:
-                        by_slot.setdefault((p - x) >> 4, []).append((w, p - x, x, piece))
-        # A repeated passage is longer than a window, so windows with a hit have a neighbour at about the same shift.
-        by_window: dict[int, list[tuple[int, int, str]]] = {}
-        lone = len(spans) > 2
-        for slot, places_hit in by_slot.items():
-            if lone:
-                w = places_hit[0][0]
-                if all(q[0] == w for k in (slot - 1, slot, slot + 1) for q in by_slot.get(k, ())):
-                    continue
-            for w, shift, x, piece in places_hit:
-                by_window.setdefault(w, []).append((shift, x, piece))
-        if len(by_window) < self.need[item]:
-            return 0.0
+        hits: dict[int, list[tuple[int, int]]] = {}
+        for end, (size, places) in self.automaton.iter(text):
+            for item, ks in places:
+                at = hits.setdefault(item, [])
+                for k in ks:
+                    at.append((k, end + 1 - size))
+        out = {}
+        for item, found in hits.items():
+            cuts, reach = self.cuts[item], self.reach[item]
+            most, done = 0, 0
+            for k in sorted({k for k, _ in found}):
+                x, y = cuts[max(k - reach, 0)], cuts[min(k + reach + 1, len(cuts) - 1)]
+                most += max(0, y - max(x, done))
+                done = max(done, y)
+            if most >= SHARE * len(self.own[item]):
+                out[item] = found
+        return out
+
+    def covered(self, item: int, text: str, hits: list[tuple[int, int]]) -> float:
+        """Share of the item's own text that the document repeats: all verified windows, and what is equal next to them."""
+        own, cuts, edits = self.own[item], self.cuts[item], self.budget[item]
+        halves, last = self.halves[item], len(cuts) - 1 - (edits + 1)
         mark = bytearray(len(own))
-        # Each window covers two cells of half its length; once the cells still open can't make up the share, there is no case.
-        step = max(1, (spans[0][1] - spans[0][0]) // 2)
-        cells, failed = 0, set()
-        for w in by_window:
-            cells |= 3 << w
-        least = SHARE * len(own) - 2 * step
-        for w, places in by_window.items():
-            if cells.bit_count() * step < least:
-                return 0.0
-            a, b, accept = spans[w]
-            done = set()
-            hit = False
-            for shift, x, piece in places:
-                slot = shift // 4
-                if slot in done:
-                    continue
-                done.add(slot)
-                lo, hi = max(0, shift + a - accept), shift + b + accept
-                if shift + x < 0 or myers(self._pattern(item, w), b - a, text[lo:hi], accept) > accept:
-                    continue
-                hit = True
-                mark[a:b] = b"\1" * (b - a)
-                # beyond the window, as far as the characters stay equal
-                i, j = x, x + shift
+        tried: dict[tuple[int, int], bool] = {}
+        for k, place in hits:
+            shift = place - cuts[k]
+            first, good = max(0, k - edits), False
+            # of the window's halves of pieces the budget leaves all but so many as it is, about where they are due
+            there = [h in text[max(0, shift + x - edits):max(0, shift + y + edits)] for h, x, y in halves[2 * first:2 * (k + edits + 1)]]
+            for w in range(first, min(k, last) + 1):
+                key = (w, shift)
+                if key not in tried:
+                    tried[key] = False
+                    if sum(there[2 * (w - first):2 * (w - first + edits + 1)]) >= edits + 2:
+                        a, b = cuts[w], cuts[w + edits + 1]
+                        part = text[max(0, shift + a - edits):max(0, shift + b + edits)]
+                        if own[a:b] in part or myers(self._pattern(item, a, b), b - a, part, edits) <= edits:
+                            tried[key] = True
+                            mark[a:b] = b"\1" * (b - a)
+                good = good or tried[key]
+            if good:
+                i, j = cuts[k], place
                 while i > 0 and j > 0 and own[i - 1] == text[j - 1]:
                     i -= 1
                     j -= 1
-                e, f = x + len(piece), x + len(piece) + shift
+                e, f = cuts[k + 1], place + cuts[k + 1] - cuts[k]
                 while e < len(own) and f < len(text) and own[e] == text[f]:
                     e += 1
                     f += 1
                 mark[i:e] = b"\1" * (e - i)
-            if not hit:
-                open_cells = 0
-                for v in by_window:
-                    if v != w and v not in failed:
-                        open_cells |= 3 << v
-                failed.add(w)
-                cells = open_cells
         return sum(mark) / len(own)
 
     def find(self, text: str) -> list[tuple[int, float]]:
@@ -226,23 +206,31 @@ class Matcher:
 
 
 def matches(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
-    """(doc_id, item_id, share) of every document that repeats at least SHARE of an item's own text."""
-    items = eval_items.select("item_id", "item_text").filter(F.col("item_id").isNotNull() & F.col("item_text").isNotNull())
-    n = items.count()
+    """(doc_id, item_id, share) of every document that repeats at least SHARE of an item's own text. Each block of items is
+    searched for in one pass over the documents."""
+    own = own_texts(eval_items.select("item_id", "item_text"))
+    n = eval_items.count()
     blocks = max(1, -(-n // ITEM_BLOCK))
     docs = spread(documents.select("doc_id", "text").filter(F.col("text").isNotNull()))
+    own = written(own, "items") if blocks > 1 else own
     out = None
     for k in range(blocks):
-        part = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()
-        own = own_texts([(r["item_id"], r["item_text"]) for r in part])
-        found_k = docs.mapInArrow(_search(documents.sparkSession.sparkContext.broadcast(own)), "doc_id bigint, item_id bigint, share double")
+        part = {r["item_id"]: r["own"] for r in own.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()}
+        found_k = docs.mapInArrow(_search(documents.sparkSession.sparkContext.broadcast(part), uuid.uuid4().hex), "doc_id bigint, item_id bigint, share double")
         out = found_k if out is None else out.unionByName(found_k)
     return out
 
 
-def _search(shared):
+#: The matcher that a Python worker built last, by its block: tasks of one worker share it.
+_BUILT: dict[str, Matcher] = {}
+
+
+def _search(shared, block: str):
     def run(batches):
-        matcher = Matcher(shared.value)
+        if block not in _BUILT:
+            _BUILT.clear()
+            _BUILT[block] = Matcher(shared.value)
+        matcher = _BUILT[block]
         for batch in batches:
             docs, items, shares = [], [], []
             for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):

@@ -50,10 +50,35 @@ def test_leaks(spark):
 
 
 def test_item_blocks_give_the_same(spark, monkeypatch):
-    items = spark.createDataFrame(ITEMS[3:], "item_id bigint, lang string, task string, item_text string")
-    df = spark.createDataFrame([(1, ITEMS[3][3])], "doc_id bigint, text string")
-    monkeypatch.setattr(leakage, "ITEM_BLOCK", 1)
-    assert [tuple(r) for r in leakage.found(df, items).collect()] == [(1, 4)]
+    """Instructions that items share are counted over all items, however they are put into blocks."""
+    items = spark.createDataFrame(ITEMS, "item_id bigint, lang string, task string, item_text string")
+    df = spark.createDataFrame([(10 + i, t) for i, _, _, t in ITEMS if t] + [(1, "Answer the question. " * 9)], "doc_id bigint, text string")
+    whole = sorted((r["doc_id"], r["item_id"], r["share"]) for r in leakage.matches(df, items).collect())
+    assert [(d, i) for d, i, _ in whole] == [(11, 1), (12, 2), (13, 3), (14, 4)]
+    for size in (1, 2, 3):
+        monkeypatch.setattr(leakage, "ITEM_BLOCK", size)
+        assert sorted((r["doc_id"], r["item_id"], r["share"]) for r in leakage.matches(df, items).collect()) == whole
+
+
+def test_every_window_within_budget_is_found():
+    """Brute force: with up to the budget of edits anywhere in a window, the window is always verified."""
+    rng = random.Random(3)
+    text = leakage.normal(ITEMS[0][3])
+    for wide in (False, True):
+        own = "".join(chr(0x4E00 + rng.randrange(900)) for _ in range(60)) if wide else text
+        m = leakage.Matcher({1: own})
+        edits = m.budget[1]
+        for _ in range(200):
+            w = rng.randrange(len(m.cuts[1]) - 1 - edits)
+            part = list(own[m.cuts[1][w]:m.cuts[1][w + edits + 1]])
+            for _ in range(edits):
+                k = rng.randrange(len(part))
+                part[k:k + 1] = rng.choice(([], ["q"], [part[k], "q"]))
+            doc = "zz" * 30 + "".join(part) + "zz" * 30
+            hits = [(k, at) for end, (size, places) in m.automaton.iter(doc) for ks in dict(places).values() for k in ks for at in [end + 1 - size]]
+            masks = m._pattern(1, m.cuts[1][w], m.cuts[1][w + edits + 1])
+            assert leakage.myers(masks, m.cuts[1][w + edits + 1] - m.cuts[1][w], doc, edits) <= edits
+            assert hits and m.covered(1, doc, hits) >= (m.cuts[1][w + edits + 1] - m.cuts[1][w]) / len(own) - 1e-9
 
 
 def test_shares(spark):
