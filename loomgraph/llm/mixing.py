@@ -17,6 +17,7 @@ import base64
 import math
 import os
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,25 +31,19 @@ SEED = 17
 FILL = 0.95
 #: Quantiles are counted in so many bins for each source.
 BINS = 4096
-_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def tokens(documents: DataFrame, folder: str = TOKENIZERS, name: str = TOKENIZER) -> DataFrame:
-    """(doc_id, source, tokens) of every document with a text."""
+    """(doc_id, source, tokens) of every document with a text. The pattern that goes with the vocabulary files comes from
+    their module; without it sizes would be others, so a missing module is an error."""
 
     def run(batches):
+        import public_tokenizers
         import tiktoken
 
         with open(os.path.join(folder, name), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        pattern = _PATTERN
-        try:
-            import public_tokenizers
-
-            pattern = public_tokenizers.PATTERN
-        except ImportError:
-            pass
-        enc = tiktoken.Encoding("mix", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        enc = tiktoken.Encoding("mix", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         for batch in batches:
             texts = batch.column("text").to_pylist()
             sizes = [len(enc.encode_ordinary(t)) if t else 0 for t in texts]
@@ -76,54 +71,56 @@ def copies(u: float, cdf: list[float]) -> int:
     return sum(u > c for c in cdf)
 
 
-def _reached(bins: list[tuple[float, int]], rate: float, cap: int) -> float:
-    cdf = poisson_cdf(rate, cap)
-    return sum(n * copies(u, cdf) for u, n in bins)
+def _reached(u: np.ndarray, n: np.ndarray, rate: float, cap: int) -> float:
+    return float(sum(n[u > c].sum() for c in poisson_cdf(rate, cap)))
 
 
-def settle(bins: list[tuple[float, int]], wanted: float, cap: int) -> float:
-    """The rate at which the hashed quantiles give the wanted number of tokens."""
+def settle(u: np.ndarray, n: np.ndarray, wanted: float, cap: int) -> float:
+    """The rate at which quantiles u with n tokens each come nearest to the wanted number of tokens."""
     low, high = 0.0, 1.0
-    while _reached(bins, high, cap) < wanted and high < 600:
+    while _reached(u, n, high, cap) < wanted and high < 600:
         high *= 2
     for _ in range(50):
         mid = (low + high) / 2
-        low, high = (mid, high) if _reached(bins, mid, cap) < wanted else (low, mid)
-    return high
+        low, high = (mid, high) if _reached(u, n, mid, cap) < wanted else (low, mid)
+    under, over = wanted - _reached(u, n, low, cap), _reached(u, n, high, cap) - wanted
+    return high if over <= under or low == 0 else low
 
 
-def plan(sized: DataFrame, targets: DataFrame, seed: int = SEED, total: int | None = None) -> list[tuple]:
-    """(source, target_share, cap, cdf) of each listed source. total: tokens of the mix; by default as many as FILL allows.
+def plan(sized: DataFrame, targets: DataFrame, seed: int = SEED, total: int | None = None) -> DataFrame:
+    """(source, target_share, cap, cdf) of each listed source; without documents or weight its cdf is empty. total: tokens
+    of the mix; by default as many as FILL allows.
 
-    What is gathered is BINS numbers for each listed source.
+    Each source's rate is settled in a task of its own over BINS numbers; of a bin with one document the quantile is that
+    document's. Of sources listed twice the row with the greatest share counts.
     """
-    listed = {r["source"]: (r["target_share"] or 0.0, max(0, 1 if r["max_repeats"] is None else r["max_repeats"])) for r in targets.collect() if r["source"] is not None}
+    rows = targets.filter("source is not null").select("source", F.coalesce("target_share", F.lit(0.0)).alias("target_share"), F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(0)).cast("int").alias("cap"))
+    listed = rows.groupBy("source").agg(F.max(F.struct("target_share", "cap")).alias("t")).select("source", "t.*")
     at = F.floor(quantile(seed) * BINS)
-    hist = sized.filter("tokens > 0").groupBy("source", at.alias("bin")).agg(F.sum("tokens").alias("n"))
-    bins: dict[str, list[tuple[float, int]]] = {}
-    for r in hist.filter(F.col("source").isin(list(listed))).collect() if listed else []:
-        bins.setdefault(r["source"], []).append(((r["bin"] + 0.5) / BINS, r["n"]))
-    live = {s: (share, cap) for s, (share, cap) in listed.items() if share > 0 and cap > 0 and s in bins}
-    whole = sum(share for share, _ in live.values())
-    if live and total is None:
-        total = min(FILL * cap * sum(n for _, n in bins[s]) * whole / share for s, (share, cap) in live.items())
-    out = []
-    for s, (share, cap) in listed.items():
-        cdf = poisson_cdf(settle(bins[s], total * share / whole, cap), cap) if s in live else []
-        out.append((s, float(share), cap, cdf))
-    return out
+    hist = sized.filter("tokens > 0").groupBy("source", at.alias("bin")).agg(F.sum("tokens").alias("n"), F.min(quantile(seed)).alias("u"))
+    live = hist.groupBy("source").agg(F.sum("n").alias("all")).join(listed.filter("target_share > 0 and cap > 0"), "source")
+    sums = live.agg(F.sum("target_share").alias("whole"), F.min(FILL * F.col("cap") * F.col("all") / F.col("target_share")).alias("fill")).first()
+    whole = sums["whole"] or 1.0
+    size = (sums["fill"] or 0.0) * whole if total is None else float(total)
+
+    def run(table: pa.Table) -> pa.Table:
+        source, share, cap = (table.column(c)[0].as_py() for c in ("source", "target_share", "cap"))
+        rate = settle(table.column("u").to_numpy(), table.column("n").to_numpy(), size * share / whole, cap)
+        return pa.table({"source": [source], "cdf": pa.array([poisson_cdf(rate, cap)], pa.list_(pa.float64()))})
+
+    bins = hist.join(live.select("source", "target_share", "cap"), "source")
+    rates = bins.groupBy("source").applyInArrow(run, "source string, cdf array<double>")
+    return listed.join(rates, "source", "left").select("source", "target_share", "cap", F.coalesce("cdf", F.array().cast("array<double>")).alias("cdf"))
 
 
 def selection(documents: DataFrame, mix_targets: DataFrame, seed: int = SEED, total: int | None = None, folder: str = TOKENIZERS, name: str = TOKENIZER) -> tuple[DataFrame, DataFrame]:
     """(copies, plan): doc_id, source, copy (from 1), tokens, place in random order; and the plan as a table."""
-    spark = documents.sparkSession
     listed = mix_targets.select("source").filter("source is not null").distinct()
     used = documents.join(F.broadcast(listed) if listed.count() <= 10_000 else listed, "source", "left_semi")
     sized = written(tokens(used, folder, name), "tokens")
-    rows = plan(sized, mix_targets, seed, total)
-    table = spark.createDataFrame(rows, "source string, target_share double, cap int, cdf array<double>")
+    table = written(plan(sized, mix_targets, seed, total), "rates")
     u = quantile(seed)
-    counted = sized.filter("tokens > 0").withColumn("u", u).join(F.broadcast(table) if len(rows) <= 10_000 else table, "source")
+    counted = sized.filter("tokens > 0").withColumn("u", u).join(F.broadcast(table) if table.count() <= 10_000 else table, "source")
     times = F.size(F.filter("cdf", lambda c: c < F.col("u")))
     chosen = counted.withColumn("times", times).filter("times > 0")
     each = chosen.select("doc_id", "source", "tokens", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy"))
