@@ -54,7 +54,10 @@ BREAKS = [
 @pytest.fixture(scope="module")
 def splitter(spark):
     rows = table(spark, "/root/testdata/sf0.1", "sentences").filter("source_id not like 'file:scans/%'")
-    return sentences.Splitter(sentences.learn(sentences.collect_stats(rows)))
+    lex, odds = sentences.learn(sentences.collect_stats(rows))
+    for r in odds.collect():
+        lex.start_odds[r["lang"], r["a"]], lex.end_odds[r["lang"], r["a"]] = r["start_odds"], r["end_odds"]
+    return sentences.Splitter(lex)
 
 
 @pytest.mark.parametrize(
@@ -99,6 +102,33 @@ def test_blocks_give_the_same(spark, monkeypatch):
     assert sorted(map(tuple, sentences.found(df).collect())) == whole and len(whole) == 30
 
 
+def test_a_quotation_over_many_rows_in_blocks_of_any_size(spark, monkeypatch):
+    """What a block leaves open reaches the next one, however far back the quotation began."""
+    rows = [(0, "s", 0, "委员会问起密码时，他回答：“它做得很慢。", "x")] + [(i, "s", i, "但它从不遗忘。", "x") for i in range(1, 40)] + [(40, "s", 40, "它停了。”", "x"), (41, "s", 41, "样机重了。", "x")]
+    df = spark.createDataFrame([*rows, (90, None, 3, "其中", "x"), (91, None, 4, "其中", "x"), (92, "t", None, "其中", "x")], ROW)
+    whole = sorted(map(tuple, sentences.found(df).collect()))
+    assert whole == [(i, -1) for i in range(1, 41)]
+    for size, lead in ((2, 1), (5, 2), (16, 8)):
+        monkeypatch.setattr(sentences, "BLOCK", size)
+        monkeypatch.setattr(sentences, "LEAD", lead)
+        assert sorted(map(tuple, sentences.found(df).collect())) == whole
+
+
+def test_lexicon_does_not_shrink_with_the_corpus(spark):
+    """An abbreviation that is seen a few times stays one beside any amount of other text."""
+    own = ["It is in the dept. of wool, and so on."] * 6 + ["See the dept. 7 for it."] * 6
+    for more in (200, 6000):
+        rows = [(i, "s", i, t, "x") for i, t in enumerate(own + [f"The clerk of town number{i} never saw it again." for i in range(more)])]
+        lex, _ = sentences.learn(sentences.collect_stats(spark.createDataFrame(rows, ROW)))
+        assert ("en", "dept") in lex.abbrev
+
+
+def test_odds_are_asked_for_where_they_are_needed():
+    keys = sentences.odds_keys("他说了……接着又开始\n机器停了")
+    assert {("zh", "接着"), ("zh", "开始"), ("zh", "机器")} <= keys
+    assert ("en", "then") in sentences.odds_keys("He saw the drum\nThen it ended.") and sentences.odds_keys("One. Two.") == set()
+
+
 def test_units_are_whole(spark):
     df = spark.createDataFrame([(1, "s", 0, "清单上写着齿轮。样机重12吨！好。", "x"), (2, "s", 1, None, "x")], ROW)
     assert [r["sentence"] for r in sentences.units(df).orderBy("unit").collect()] == ["清单上写着齿轮。", "样机重12吨！", "好。"]
