@@ -4,8 +4,8 @@ A backward character n-gram model: for the contexts that stand at the end of som
 counted for how often each context is followed by an end (a stop, or the value's own end after one) and how
 often by anything else. A value's final context gives the log-odds of continuation against end, with a prior
 from the column's length histogram (a length that stands out from its neighbours is a field limit), and a
-threshold for each language and column. Where the original sentence, the row's other copy of it, or the JSON
-syntax shows more, that exact check follows on what the model puts forward.
+threshold for each language and column. Every value comes from what the model puts forward; where the original
+sentence, the row's other copy of it, or the JSON syntax tells more, that exact check follows.
 
 Defined results: null and empty values are whole; a value that ends in a cut mark ("..." or "[…]") is cut; values
 without any context counted take the shortest order's odds; repeated rows each get their own result.
@@ -19,17 +19,20 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import script_lang, spread
+from .common import script_lang, spread, written
 
 ORDERS = (3, 6, 10)
 #: Bits of a hash by which most positions are passed over before the wanted contexts are looked up exactly.
 SIEVE_BITS = 20
-#: Log-odds from which a value is put forward to the exact check, and from which it is cut where nothing can be checked.
-FORWARD = -1.5
+#: Log-odds from which the model puts a value forward to the exact check: one that ends in a stop, and one that doesn't.
+FORWARD = (-1.5, -7.0)
+#: Log-odds from which a value is cut where nothing can be checked and no threshold could be fitted.
 START_THRESHOLD = 1.5
+#: What a cut mark adds to the log-odds of continuation.
+MARK_ODDS = 8.0
 SPIKE_LEAST = 12
 
 _STOPS = ".!?。！？…"
@@ -79,15 +82,17 @@ def _cps(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return cp, ends
 
 
-def body(value: str) -> tuple[str, bool]:
-    """The value without a cut mark, and whether it had one."""
+def body(value: str, field: str = "") -> tuple[str, bool]:
+    """The value without a cut mark, and whether it had one; JSON never ends in three dots, so they mark it as cut."""
+    if field == "reasons":
+        return (value[:-3], True) if value.endswith("...") else (value, False)
     m = _MARK.search(value)
     return (value[: m.start()], True) if m else (value, False)
 
 
 def _context(value: str, field: str) -> str:
-    """What the model sees of a value's end: for JSON all of it, for text what stands before a cut mark."""
-    return value if field == "reasons" else body(value)[0].rstrip()
+    """What the model sees of a value's end: what stands before a cut mark."""
+    return body(value, field)[0] if field == "reasons" else body(value)[0].rstrip()
 
 
 def _values(batch, fields):
@@ -160,7 +165,8 @@ def _count(rows: DataFrame, fields: tuple, shared) -> dict[int, tuple[np.ndarray
         end = {n: np.zeros(len(marks[n]), np.int64) for n in ORDERS}
         for batch in batches:
             for f, texts in _values(batch, fields):
-                texts = [t if f == "reasons" else body(t)[0] for t in texts if t]
+                # the end of a marked value is no end
+                texts = [t + "\1" if marked else t for t, marked in (body(t, f) for t in texts if t)] if f == "reasons" else [body(t)[0] for t in texts if t]
                 if not texts:
                     continue
                 cp, ends = _cps(texts)
@@ -249,10 +255,9 @@ def scored(rows: DataFrame, tab: str, fields: tuple, shared, every: bool = False
                 for i, o in zip(live, odds.tolist(), strict=True):
                     t = texts[i]
                     prior = model.prior.get((f, len(t)), 0.0)
-                    bare, marked = body(t) if f != "reasons" else (t[:-3], True) if t.endswith("...") else (t, False)
-                    loose = f != "reasons" and t != t.rstrip()
-                    stopped = t[-1] in _STOPS or t[-1] in _CLOSERS
-                    if not (every or marked or loose or f != "reasons" and not stopped or o + max(prior, 0) * 3 > FORWARD):
+                    bare, marked = body(t, f)
+                    stopped = f == "reasons" or t[-1] in _STOPS or t[-1] in _CLOSERS
+                    if not every and o + max(prior, 0) * 3 + MARK_ODDS * marked <= FORWARD[not stopped]:
                         continue
                     ok = None
                     if f == "reasons":
@@ -267,7 +272,7 @@ def scored(rows: DataFrame, tab: str, fields: tuple, shared, every: bool = False
                     elif f == "snippet":
                         bare = _LABEL.sub("", bare)
                         other = body(texts_of["evidence_sentence"][i])[0]
-                    row = (tab, ids[i], f, src[i], idx[i], "" if f == "reasons" else script_lang(t), "" if f == "reasons" else bare, other, marked, o, prior, ok)
+                    row = (tab, ids[i], f, src[i], idx[i], "" if f == "reasons" else script_lang(t), "" if f == "reasons" else bare, other, marked, o + MARK_ODDS * marked, prior, ok)
                     for c, v in zip(cols, row, strict=True):
                         c.append(v)
             kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.float64(), pa.float64(), pa.bool_()]
@@ -288,8 +293,6 @@ def _candidates(triples: DataFrame, predictions: DataFrame) -> DataFrame:
 
 def judged(triples: DataFrame, predictions: DataFrame, sentences: DataFrame) -> DataFrame:
     """Values put forward, with what the exact check says: cut, whole, or null where nothing can be checked."""
-    from .common import written
-
     cand = written(_candidates(triples, predictions), "truncation")
     text = cand.filter("field_name <> 'reasons'")
     keys = F.col("source_id").alias("source"), F.col("sentence_idx").cast("string").alias("idx")
@@ -298,7 +301,7 @@ def judged(triples: DataFrame, predictions: DataFrame, sentences: DataFrame) ->
     plain = F.rtrim(F.col("text"))
     same = (F.col("sentence") == F.col("text")) | (F.rtrim("sentence") == plain) & (F.col("text") == plain)
     checks = joined.groupBy("tab", "row_id", "field_name").agg(F.max(same).alias("same"), F.max(F.col("sentence").startswith(F.col("text")) & (F.length("sentence") > F.length("text"))).alias("longer"))
-    out = text.join(checks, ["tab", "row_id", "field_name"], "left")
+    out = text.join(checks, ["tab", "row_id", "field_name"], "left")  # a row and its field are one value, as row_id is unique
     by_other = F.when((F.length("other") > F.length("text")) & F.col("other").startswith(F.col("text")), True)
     truth = (
         F.when(F.col("marked"), True)
@@ -312,18 +315,16 @@ def judged(triples: DataFrame, predictions: DataFrame, sentences: DataFrame) ->
 
 
 def _with_stop(values: DataFrame) -> DataFrame:
-    return values.withColumn("stopped", F.substring("text", -1, 1).isin(*(_STOPS + _CLOSERS)))
+    return values.withColumn("stopped", (F.col("field_name") != "reasons") & F.substring("text", -1, 1).isin(*(_STOPS + _CLOSERS)))
 
 
 def thresholds(values: DataFrame) -> DataFrame:
     """For each language and column, with and without a stop at the end, the log-odds that part checked cut values
     from checked whole ones best."""
     score = F.round((F.col("odds") + F.col("prior")) * 2) / 2
-    hist = values.filter("cut is not null and not marked and field_name <> 'reasons'").groupBy("tab", "field_name", "lang", "stopped", score.alias("at")).agg(
+    hist = values.filter("cut is not null and not marked").groupBy("tab", "field_name", "lang", "stopped", score.alias("at")).agg(
         F.sum(F.col("cut").cast("int")).alias("c"), F.sum((~F.col("cut")).cast("int")).alias("w")
     )
-    from pyspark.sql import Window
-
     down = Window.partitionBy("tab", "field_name", "lang", "stopped").orderBy(F.desc("at"))
     up = Window.partitionBy("tab", "field_name", "lang", "stopped").orderBy(F.asc("at")).rowsBetween(Window.unboundedPreceding, -1)
     wrong = hist.withColumn("false_cut", F.sum("w").over(down)).withColumn("missed", F.coalesce(F.sum("c").over(up), F.lit(0)))
@@ -331,16 +332,30 @@ def thresholds(values: DataFrame) -> DataFrame:
     return best.filter("rank = 1").select("tab", "field_name", "lang", "stopped", F.col("at").alias("threshold"))
 
 
-def found(triples: DataFrame, predictions: DataFrame, sentences: DataFrame) -> DataFrame:
-    """(tab, row_id, field_name) of every value that lacks the end of the original value."""
-    from .common import written
+def found(triples: DataFrame, predictions: DataFrame, sentences: DataFrame, checked: bool = True) -> DataFrame:
+    """(tab, row_id, field_name) of every value that lacks the end of the original value.
 
+    checked: what the exact check says holds over the model's word. Without it the model alone decides, by thresholds that
+    were fitted to checked values."""
     values = _with_stop(written(judged(triples, predictions, sentences), "judged"))
-    levels = thresholds(values)
-    scored_ = values.join(F.broadcast(levels), ["tab", "field_name", "lang", "stopped"], "left")
-    by_model = F.col("odds") + F.col("prior") >= F.coalesce("threshold", F.lit(START_THRESHOLD))
-    cut = F.coalesce(F.col("cut"), by_model)
-    return scored_.filter(cut).select("tab", "row_id", "field_name")
+    cut = by_model(values, thresholds(values))
+    return cut.filter(F.coalesce("cut", "model_cut") if checked else F.col("model_cut")).select("tab", "row_id", "field_name")
+
+
+def by_model(values: DataFrame, levels: DataFrame) -> DataFrame:
+    """values with model_cut: whether their odds reach the threshold of their language and column."""
+    both = values.join(F.broadcast(levels), ["tab", "field_name", "lang", "stopped"], "left")
+    return both.withColumn("model_cut", F.col("odds") + F.col("prior") >= F.coalesce("threshold", F.lit(START_THRESHOLD)))
+
+
+def model_alone(triples: DataFrame, predictions: DataFrame, sentences: DataFrame) -> DataFrame:
+    """How well the model decides by itself: for each table and field the numbers of checked values of held-out sources
+    that are cut, that the model says are cut, and both. Thresholds are fitted to the other half of the sources. Values
+    that the model doesn't put forward aren't checked; they count in p6_found's own comparison only."""
+    values = _with_stop(written(judged(triples, predictions, sentences), "judged")).withColumn("held", F.pmod(F.xxhash64("source"), F.lit(2)) == 1)
+    tried = by_model(values.filter("held"), thresholds(values.filter("not held"))).filter("cut is not null")
+    n = lambda c: F.sum(c.cast("int"))
+    return tried.groupBy("tab", "field_name").agg(n(F.col("cut")).alias("cut"), n(F.col("model_cut")).alias("said"), n(F.col("cut") & F.col("model_cut")).alias("both"))
 
 
 def rates(triples: DataFrame, predictions: DataFrame, sentences: DataFrame) -> DataFrame:

@@ -97,3 +97,12 @@ def test_contexts_are_counted_exactly(spark):
     at = truncation._places(wanted, keys)[0]
     assert total[at] == 5 and ends[at] == 5
     assert (truncation._places(truncation._hashes(truncation._cps(["zzzzzzzzzzzz"])[0])[10][-1:], keys) == -1).all()
+
+
+def test_model_alone_on_held_out_sources(spark):
+    """Thresholds fitted to half of the sources part cut values from whole ones in the other half, without any check."""
+    from loomgraph.llm.common import table
+
+    tables = [table(spark, "/root/testdata/sf0.1", n) for n in ("triples_extracted", "re_predictions", "sentences")]
+    got = truncation.model_alone(*tables).groupBy().sum("cut", "said", "both").first()
+    assert got[2] / got[0] > 0.95 and got[2] / got[1] > 0.95 and got[0] > 1000
