@@ -2,7 +2,9 @@
 
 Averaged hashed subword embeddings with a linear softmax, trained by stochastic gradient descent in numpy on
 a bounded sample of labelled documents; probabilities are tempered on held-out sentences, and sentences below
-the rejection threshold take the language of their neighbours in a Viterbi pass.
+the threshold take the language of their neighbours in a Viterbi pass. Rejection is calibrated apart from the
+probabilities, which are high for unknown languages too: a segment whose n-grams its language has seen to a lesser
+share than nearly all held-out sentences is of no known language, "und".
 
 Defined results: null and empty texts, and texts without letters, give one segment with language "" and
 confidence 0 (and are no case of p1_found); repeated rows each get their own segments; texts of any length
@@ -26,6 +28,12 @@ BUCKETS = 1 << 16
 DIM = 16
 EPOCHS = 6
 NGRAMS = (1, 2, 3, 4)
+#: n-grams seen in training are marked for each language in so many places, bound whatever the corpus.
+KNOWN = 1 << 22
+#: Share of held-out sentences that may fall below the rejection floor of their language, and how far below it a segment
+#: must be to be rejected; few n-grams tell less, by the spread of a share of so many, and very few nothing.
+REJECTED, MARGIN, LEAST_GRAMS = 0.002, 0.1, 20
+UNKNOWN = "und"
 #: Held-out precision that the rejection threshold must reach.
 PRECISION = 0.998
 SWITCH = 3.5
@@ -104,13 +112,14 @@ def _by_script(text: str, runs: list, kinds: list) -> list[str]:
     return out
 
 
-def features(pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashed n-gram ids, first position of each piece's ids, number of ids of each piece)."""
+def features(pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashed n-gram ids, first position of each piece's ids, number of ids of each piece; the longer n-grams' places in
+    the table of known ones, and whose they are)."""
     joined = "\0".join(" " + _SPACE.sub(" ", p.lower()).strip() + " " for p in pieces) + "\0"
     cp = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
     owner = np.cumsum(cp == 0) - (cp == 0)
     wide = cp >= 0x3000
-    ids, own = [], []
+    ids, own, marks, whose = [], [], [], []
     acc = np.zeros(len(cp), np.uint32)
     for n in NGRAMS:
         size = len(cp) - n + 1
@@ -124,12 +133,17 @@ def features(pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             ok &= ~wide[:size]
         h = acc[ok]
         h = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B)
-        ids.append(((h ^ (h >> np.uint32(13))) % np.uint32(BUCKETS)).astype(np.int32))
+        h ^= h >> np.uint32(13)
+        ids.append((h % np.uint32(BUCKETS)).astype(np.int32))
         own.append(owner[:size][ok])
+        if n >= 2:
+            long = np.ones(len(h), bool) if n > 2 else wide[:size][ok]
+            marks.append(((h[long] * np.uint32(0x9E3779B1)) >> np.uint32(10)).astype(np.int32))
+            whose.append(own[-1][long])
     ids_all, own_all = np.concatenate(ids), np.concatenate(own)
     order = np.argsort(own_all, kind="stable")
     counts = np.bincount(own_all, minlength=len(pieces))
-    return ids_all[order], np.concatenate([[0], np.cumsum(counts)[:-1]]), counts
+    return ids_all[order], np.concatenate([[0], np.cumsum(counts)[:-1]]), counts, np.concatenate(marks), np.concatenate(whose)
 
 
 _CJK_ANY = re.compile(r"[぀-ヿ㐀-鿿]")
@@ -151,22 +165,40 @@ def _allowed(pieces: list[str]) -> np.ndarray:
 
 
 class Model:
-    """Table of each bucket's share in the logits (embedding times output weights), bias, temperature, threshold."""
+    """Table of each bucket's share in the logits (embedding times output weights), bias, temperature, threshold; which
+    n-grams each language has seen, one bit for each, and the floor of each language's share of them."""
 
-    def __init__(self, table, bias, temperature, threshold):
+    def __init__(self, table, bias, temperature, threshold, known=None, floor=None):
         self.table, self.bias, self.temperature, self.threshold = table, bias, temperature, threshold
+        self.known = np.zeros(KNOWN, np.uint8) if known is None else known
+        self.floor = np.zeros(len(LANGS)) if floor is None else floor
 
-    def proba(self, pieces: list[str]) -> np.ndarray:
-        parts = []
+    def judge(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(probabilities, n-grams, n-grams that the most probable language has seen) of each piece."""
+        parts, seen, sizes = [], [], []
         for k in range(0, len(pieces), 2000):
-            ids, first, counts = features(pieces[k:k + 2000])
+            part = pieces[k:k + 2000]
+            ids, first, counts, marks, whose = features(part)
             sums = np.add.reduceat(self.table[ids], np.minimum(first, max(len(ids) - 1, 0)), axis=0)
             sums[counts == 0] = 0
             logits = (sums / np.maximum(counts, 1)[:, None] + self.bias) / self.temperature
             logits -= logits.max(1, keepdims=True)
-            p = np.exp(logits) * _allowed(pieces[k:k + 2000])
-            parts.append(p / p.sum(1, keepdims=True))
-        return np.concatenate(parts) if parts else np.zeros((0, len(LANGS)))
+            p = np.exp(logits) * _allowed(part)
+            p /= p.sum(1, keepdims=True)
+            parts.append(p)
+            bit = (self.known[marks] >> p.argmax(1).astype(np.uint8)[whose]) & 1
+            sizes.append(np.bincount(whose, minlength=len(part)))
+            seen.append(np.bincount(whose, weights=bit, minlength=len(part)))
+        if not parts:
+            return np.zeros((0, len(LANGS))), np.zeros(0), np.zeros(0)
+        return np.concatenate(parts), np.concatenate(sizes), np.concatenate(seen)
+
+    def proba(self, pieces: list[str]) -> np.ndarray:
+        return self.judge(pieces)[0]
+
+    def rejects(self, lang: int, size: float, seen: float) -> bool:
+        """Whether a segment's share of n-grams that its language has seen is too low for any text in it."""
+        return size >= LEAST_GRAMS and seen / size + MARGIN + 0.5 / size ** 0.5 < self.floor[lang]
 
 
 def train(texts: list[str], labels: list[str], seed: int = 7) -> Model:
@@ -186,7 +218,7 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> Model:
         return Model(np.zeros((BUCKETS, len(LANGS)), np.float32), np.zeros(len(LANGS), np.float32), 1.0, 1.1)
     y = np.array(ys)
     held_out = np.array(held)
-    ids, first, counts = features(pieces)
+    ids, first, counts, marks, whose = features(pieces)
     emb = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     out = rng.normal(0, 0.1, (DIM, len(LANGS))).astype(np.float32)
     bias = np.zeros(len(LANGS), np.float32)
@@ -219,7 +251,11 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> Model:
             ranked = flat[order]
             edges = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
             emb[ranked[edges]] -= np.add.reduceat(step[order], edges, axis=0)
-    model = Model((emb @ out).astype(np.float32), bias, 1.0, 0.0)
+    known = np.zeros(KNOWN, np.uint8)
+    learnt = ~held_out[whose]
+    for k in range(len(LANGS)):
+        known[marks[learnt & (y[whose] == k)]] |= np.uint8(1 << k)
+    model = Model((emb @ out).astype(np.float32), bias, 1.0, 0.0, known)
     _calibrate(model, [p for p, h in zip(pieces, held, strict=True) if h], y[held_out])
     return model
 
@@ -235,7 +271,11 @@ def _calibrate(model: Model, pieces: list[str], y: np.ndarray) -> None:
         loss = -np.log(np.maximum(p[np.arange(len(y)), y], 1e-6)).mean()
         best = min(best, (loss, t))
     model.temperature = best[1]
-    p = model.proba(pieces)
+    p, sizes, seen = model.judge(pieces)
+    for k in range(len(LANGS)):
+        mine = (y == k) & (p.argmax(1) == k) & (sizes >= 40)
+        if mine.sum() >= 20:
+            model.floor[k] = np.quantile(seen[mine] / sizes[mine], REJECTED)
     right, top = p.argmax(1) == y, p.max(1)
     order = np.argsort(-top)
     precision = np.cumsum(right[order]) / np.arange(1, len(order) + 1)
@@ -244,8 +284,9 @@ def _calibrate(model: Model, pieces: list[str], y: np.ndarray) -> None:
     model.held_out_accuracy = float(right.mean())
 
 
-def segment(probs: np.ndarray, sizes: list[int], threshold: float) -> list[tuple[int, float]]:
-    """(language, confidence) of each run of units, by Viterbi; rejected units carry little weight of their own."""
+def segment(probs: np.ndarray, sizes: list[int], threshold: float) -> list[tuple[int, float, int, int]]:
+    """(language, confidence, first unit, end) of each run of units, by Viterbi; units below the threshold carry little
+    weight of their own."""
     weight = np.minimum(1, np.array(sizes) / FULL_SIZE) ** 2
     logp = np.log(np.maximum(probs, 1e-4)) * weight[:, None]
     logp[probs.max(1) < threshold] *= 0.3
@@ -265,9 +306,10 @@ def segment(probs: np.ndarray, sizes: list[int], threshold: float) -> list[tuple
         if out and out[-1][0] == c:
             out[-1][1] += probs[i, c] * sizes[i]
             out[-1][2] += sizes[i]
+            out[-1][4] = i + 1
         else:
-            out.append([c, probs[i, c] * sizes[i], sizes[i]])
-    return [(c, s / max(w, 1)) for c, s, w in out]
+            out.append([c, probs[i, c] * sizes[i], sizes[i], i, i + 1])
+    return [(c, s / max(w, 1), x, z) for c, s, w, x, z in out]
 
 
 def training_sample(documents: DataFrame) -> tuple[list[str], list[str]]:
@@ -304,18 +346,23 @@ def segments(rows: DataFrame, model: Model) -> DataFrame:
                 own = units(text) if text else []
                 spans.append((len(pieces), len(pieces) + len(own)))
                 pieces.extend(own)
-            probs = model.proba(pieces)
+            probs, grams, seen = model.judge(pieces)
             top = probs.argmax(1) if len(pieces) else np.zeros(0, int)
             rows_out = [[] for _ in range(7)]
             for tab, rid, label, (a, b) in zip(tabs, ids, labels, spans, strict=True):
                 if a == b:
-                    segs = [(None, 0.0)]
+                    segs = [("", 0.0)]
                 else:
                     sizes = [len(p) * (3 if _CJK_ANY.search(p) else 1) for p in pieces[a:b]]
                     same = (top[a:b] == top[a]).all()
-                    segs = [(int(top[a]), float(np.average(probs[a:b, top[a]], weights=sizes)))] if same else segment(probs[a:b], sizes, model.threshold)
+                    runs = [(int(top[a]), float(np.average(probs[a:b, top[a]], weights=sizes)), 0, b - a)] if same else segment(probs[a:b], sizes, model.threshold)
+                    segs = []
+                    for c, conf, x, z in runs:
+                        own = top[a + x:a + z] == c
+                        unknown = model.rejects(c, float(grams[a + x:a + z][own].sum()), float(seen[a + x:a + z][own].sum()))
+                        segs.append((UNKNOWN if unknown else LANGS[c], conf))
                 for i, (c, conf) in enumerate(segs):
-                    for col, v in zip(rows_out, (tab, rid, i, "" if c is None else LANGS[c], float(conf), label, len(segs)), strict=True):
+                    for col, v in zip(rows_out, (tab, rid, i, c, float(conf), label, len(segs)), strict=True):
                         col.append(v)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(v, t) for v, t in zip(rows_out, (pa.string(), pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.string(), pa.int32()), strict=True)],
@@ -338,8 +385,9 @@ def all_segments(documents: DataFrame, wiki_chunk: DataFrame, sentences: DataFra
 
 
 def found(documents: DataFrame, wiki_chunk: DataFrame, sentences: DataFrame) -> DataFrame:
-    """The cases: chunks with a label that isn't their text's language, and texts of several languages."""
+    """The cases: chunks with a label that isn't their text's language, and texts of several languages. Segments of no
+    known language have none of the seven codes, so they aren't among the rows."""
     every = all_segments(documents, wiki_chunk, sentences)
     code = F.lower(F.element_at(F.split(F.trim(F.coalesce("label", F.lit(""))), "[-_]"), 1))
     case = (F.col("segments") > 1) | ((F.col("tab") == "wiki_chunk") & (code != F.col("lang")))
-    return every.filter(case & (F.col("lang") != "")).select("tab", "row_id", "seg_idx", "lang")
+    return every.filter(case & ~F.col("lang").isin("", UNKNOWN)).select("tab", "row_id", "seg_idx", "lang")

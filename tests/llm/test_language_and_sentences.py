@@ -31,6 +31,26 @@ def test_segments_of_mixed_text(spark, model):
     assert got == {1: ["en", "de"], 2: ["zh", "en", "zh"], 3: ["en"], 4: [""], 5: [""], 6: [""], 7: ["en"]}
 
 
+UNKNOWN = {
+    "pt": "A comissão decidiu que não havia mais tempo para discutir as contas da cidade, e por isso os vizinhos voltaram cedo para casa naquela manhã de outubro.",
+    "nl": "De vrouw vertelde dat het oude huis aan het water al jaren leeg stond en dat niemand nog wist wie er vroeger gewoond had, zelfs de buren niet.",
+    "pl": "Wieczorem dzieci wróciły do domu, bo nad miastem zaczął padać śnieg i żaden z sąsiadów nie chciał już zostać dłużej na zewnątrz.",
+    "uk": "Увечері діти повернулися додому, бо над містом почав падати сніг, і ніхто із сусідів уже не хотів залишатися надворі довше.",
+    "none": "xkq zzvw ploojf qqrt wvvx bnmkl ghhtr zxcvv qwpoi lkjhh mnbbv trewq ppoiu yttre wqqas dfggh jkkll zzxxc vvbbn mmnna",
+}
+
+
+def test_unknown_languages_are_rejected(spark, model):
+    rows = [("d", i, t, None) for i, t in enumerate(UNKNOWN.values())]
+    df = spark.createDataFrame(rows, "tab string, row_id bigint, text string, label string")
+    got = {r["row_id"]: r["lang"] for r in language.segments(df, model).filter("seg_idx = 0").collect()}
+    assert set(got.values()) == {"und"}, got
+    docs = table(spark, "/root/testdata/sf0.1", "documents").filter(F.col("lang").isin(*LANGS))
+    known = language.segments(docs.select(F.lit("d").alias("tab"), F.col("doc_id").alias("row_id"), "text", F.col("lang").alias("label")), model)
+    kept = known.agg(F.avg((F.col("lang") != "und").cast("int"))).first()[0]
+    assert kept > 0.99
+
+
 def test_cases(spark, model, monkeypatch):
     monkeypatch.setattr(language, "fit", lambda _d: model)
     en = "The committee preferred the silent machine of the clerk."
