@@ -2,8 +2,10 @@
 
 A prefix-filter set-similarity join: every value and every listed alias becomes a few normal forms, a form a set
 of character grams ordered by global rarity; only the rare prefixes are joined, with length and positional
-filters, and the Jaccard similarity of the pairs left is computed exactly. An edit-distance check follows, and
-the best alias of each value is kept; a value with none is reported with the empty id.
+filters, and the Jaccard similarity of the pairs left is computed exactly. How similar two forms must be follows from
+the edits that their lengths allow: an edit changes at most EDIT_GRAMS grams, so prefixes are short, and no pair within
+the edits is missed. An edit-distance check follows, and the most similar alias of each value is kept; a value with none
+is reported with the empty id.
 
 Defined results: null and empty mentions, and those that no alias reaches, get ""; repeated mentions each get
 the same id; of equally good entities the one with the smallest id is taken; aliases without an id count as
@@ -19,9 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
 from .unify import INVISIBLE, LOOK_ALIKES
 
-THRESHOLD = 0.4
+#: Grams of a form that one edit or swap of neighbours can change at most.
+EDIT_GRAMS = 3
+#: Ranks of grams are broadcast up to this number, and joined by shuffle beyond it.
+BROADCAST_ROWS = 200_000
 COMMON_SHARE = 0.003
 LABELS = ("PER", "ORG", "LOC")
 
@@ -111,8 +117,6 @@ def forms(value: str, listed: bool = False, fixer: Words | None = None) -> list[
     if fixer and len(found_words) > 1:
         found_words = [fixer.fix(w) for w in found_words]
     words = [SHORT_FORMS.get(w, w) for w in found_words]
-    if "mark" in words and words[-1] == "iis":
-        words[-1] = "ii"
     kept = [w for w in words if w not in TITLES]
     words = kept or words
     full = [w for w in words if len(w) > 1]
@@ -182,37 +186,40 @@ def _form_rows(df: DataFrame, column: str, keys: list[str], listed: bool, common
     return df.mapInArrow(run, schema)
 
 
-def _prefixes(df: DataFrame, rank: DataFrame, key: str) -> DataFrame:
-    """One row for each gram of the prefix: key, gram, its place, and the size of the set. Grams are in order of rarity;
-    a gram that no alias has counts as rarest."""
-    each = df.select(key, F.explode("grams").alias("gram")).join(F.broadcast(rank), "gram", "left")
-    ordered = each.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram"))).alias("g"))
-    n = F.size("g")
-    take = n - F.ceil(F.lit(THRESHOLD) * n - 1e-9).cast("int") + 1
-    return ordered.select(key, n.alias("n"), F.posexplode(F.slice("g", F.lit(1), take)).alias("at", "g")).select(key, "n", "at", F.col("g.gram").alias("gram"))
+def _edits(form: str):
+    """The same as allowed(), as a Column."""
+    n, wide = F.length(form), F.col(form).rlike("[぀-ヿ㐀-鿿]")
+    return F.when(wide, F.when(n < 3, 0).when(n < 12, 1).otherwise(2)).otherwise(F.when(n < 4, 0).when(n < 8, 1).otherwise(2))
 
 
-def pairs(values: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Set-similarity join of forms: (v_form, a_form, jaccard) of all pairs of distinct forms at THRESHOLD or above.
+def _prefixes(df: DataFrame, rank: DataFrame, name: str) -> DataFrame:
+    """One row for each gram of the prefix: form, gram, its place, the size of the set, the edits allowed. Grams are in
+    order of rarity; a gram that no alias has counts as rarest. Of each form name is the prefix of its columns."""
+    each = df.select("form", F.explode("grams").alias("gram")).join(rank, "gram", "left")
+    ordered = each.groupBy("form").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram"))).alias("g"))
+    sized = ordered.select("form", F.size("g").alias("n"), _edits("form").alias("edits"), "g")
+    cut = F.slice("g", F.lit(1), F.least(F.col("n"), EDIT_GRAMS * F.col("edits") + 1))
+    return sized.select(F.col("form").alias(f"{name}_form"), F.col("n").alias(f"{name}_n"), F.col("edits").alias(f"{name}_edits"), F.posexplode(cut).alias(f"{name}_at", "g")).withColumn("gram", F.col("g.gram")).drop("g")
 
-    values and aliases: form, grams. The number of distinct grams, which is broadcast, is bounded by the square of
-    the number of characters in use.
-    """
+
+def pairs(values: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Set-similarity join of forms: (v_form, a_form, jaccard) of all pairs of distinct forms that share a gram and lack at
+    most EDIT_GRAMS grams of the larger set for each edit that both forms allow. values and aliases: form, grams."""
     v = values.groupBy("form").agg(F.first("grams").alias("grams"))
     a = aliases.groupBy("form").agg(F.first("grams").alias("grams"))
-    rank = a.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
-    pv = _prefixes(v, rank, "form").withColumnRenamed("form", "v_form").withColumnRenamed("n", "v_n").withColumnRenamed("at", "v_at")
-    pa_ = _prefixes(a, rank, "form").withColumnRenamed("form", "a_form").withColumnRenamed("n", "a_n").withColumnRenamed("at", "a_at")
-    t = F.lit(THRESHOLD)
-    need = F.ceil(t / (1 + t) * (F.col("v_n") + F.col("a_n")) - 1e-9)
-    # positional filter: what is left behind the first common gram must suffice
+    rank = written(a.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("df")), "ranks")
+    rank = F.broadcast(rank) if rank.count() <= BROADCAST_ROWS else rank
+    pv, pa_ = _prefixes(v, rank, "v"), _prefixes(a, rank, "a")
+    need = F.greatest("v_n", "a_n") - EDIT_GRAMS * F.least("v_edits", "a_edits")
+    # length filter: neither set can have more grams than the other's and what edits add
+    length = F.least("v_n", "a_n") >= need
+    # positional filter: what is left behind the common gram must suffice
     left = 1 + F.least(F.col("v_n") - F.col("v_at") - 1, F.col("a_n") - F.col("a_at") - 1)
-    first = pv.join(pa_, "gram").filter((F.col("a_n") >= t * F.col("v_n") - 1e-9) & (F.col("v_n") >= t * F.col("a_n") - 1e-9))
-    met = first.groupBy("v_form", "a_form").agg(F.max(left >= need).alias("fits")).filter("fits")
+    met = pv.join(pa_, "gram").filter(length).groupBy("v_form", "a_form").agg(F.max(left >= need).alias("fits"), F.first(need).alias("need")).filter("fits")
     both = met.join(v.select(F.col("form").alias("v_form"), F.col("grams").alias("v_grams")), "v_form").join(a.select(F.col("form").alias("a_form"), F.col("grams").alias("a_grams")), "a_form")
     common = F.size(F.array_intersect("v_grams", "a_grams"))
     jaccard = common / (F.size("v_grams") + F.size("a_grams") - common)
-    return both.select("v_form", "a_form", jaccard.alias("jaccard")).filter(F.col("jaccard") >= t - 1e-9)
+    return both.filter(common >= F.greatest("need", F.lit(1))).select("v_form", "a_form", jaccard.alias("jaccard"))
 
 
 def _checked(df: DataFrame) -> DataFrame:
@@ -245,9 +252,9 @@ def entities(entity_map: DataFrame) -> DataFrame:
 def mapped(mentions: DataFrame, entity_map: DataFrame) -> DataFrame:
     """Distinct (mention, label) with the id of the best alias, for those that have one. mentions: mention, label."""
     distinct = mentions.filter(F.col("mention").isNotNull() & (F.trim("mention") != "")).groupBy("mention", "label").agg(F.lit(1).alias("one")).drop("one")
-    vf = _form_rows(distinct, "mention", ["mention", "label"], False, common_words(entity_map)).persist()
+    vf = written(_form_rows(distinct, "mention", ["mention", "label"], False, common_words(entity_map)), "value-forms")
     ents = entities(entity_map)
-    af = _form_rows(ents, "alias", ["id", "sort", "alias"], True).persist()
+    af = written(_form_rows(ents, "alias", ["id", "sort", "alias"], True), "alias-forms")
     near = _checked(pairs(vf, af))
     first_names = af.filter("kind = 'sur'").groupBy("id").agg(F.collect_set("initials").alias("firsts"))
     with_alias = near.join(af.select(F.col("form").alias("a_form"), "id", "sort", F.col("kind").alias("a_kind"), F.col("initials").alias("a_initials")), "a_form").join(first_names, "id", "left")
@@ -271,7 +278,7 @@ def mapped(mentions: DataFrame, entity_map: DataFrame) -> DataFrame:
     ok = all_pairs.filter(fits_label & initials_fit & place_fit & ((F.col("a_kind") != "place") | (F.col("label") == "LOC")))
     sur_owner = af.filter("kind = 'sur'").groupBy("form").agg(F.countDistinct("id").alias("owners"))
     ok = ok.join(sur_owner.select(F.col("form").alias("a_form"), "owners"), "a_form", "left").filter((F.col("a_kind") != "sur") | (F.col("owners") == 1) | (F.col("v_initials") != ""))
-    cost = F.struct("edits", (F.col("a_kind") == "sur").alias("derived"), (-F.col("jaccard")).alias("j"), "id")
+    cost = F.struct((-F.col("jaccard")).alias("j"), (F.col("a_kind") == "sur").alias("derived"), "edits", "id")
     return ok.groupBy("mention", "label").agg(F.min(cost).getField("id").alias("id"))
 
 

@@ -1,3 +1,5 @@
+import random
+
 from loomgraph.llm import canonical, unify
 
 RES = "row_id bigint, mention string, ner_label string, chosen_qid string, clean string"
@@ -44,16 +46,24 @@ def test_found_entities(spark):
 
 
 def test_pairs_against_brute_force(spark):
-    forms = ["lyvagra university", "lyvagra", "lvagra", "munbri university", "利瓦格拉大学", "利娃格拉大学", "大学", "利瓦", "abc", "abd", "zz"]
+    """The join gives every pair within the grams that the allowed edits can change, and so every pair within the edits."""
+    rng = random.Random(5)
+    forms = ["lyvagra university", "lyvagra", "lvagra", "lyavgra", "munbri university", "利瓦格拉大学", "利娃格拉大学", "大学", "利瓦", "abc", "abd", "zz", "aaaaaaaaaa", "ondmipio", "odnmipoi", ""]
+    for f in [f for f in forms if len(f) > 4] * 6:
+        k = rng.randrange(len(f) - 1)
+        forms.append(rng.choice((f[:k] + f[k + 1:], f[:k] + "x" + f[k:], f[:k] + f[k + 1] + f[k] + f[k + 2:])))
+    forms = sorted({f for f in forms if f})
     df = spark.createDataFrame([(f, canonical.grams(f)) for f in forms], "form string, grams array<string>")
     got = {(r["v_form"], r["a_form"]): round(r["jaccard"], 9) for r in canonical.pairs(df, df).collect()}
     want = {}
     for a in forms:
         for b in forms:
             x, y = set(canonical.grams(a)), set(canonical.grams(b))
-            j = len(x & y) / len(x | y)
-            if j >= canonical.THRESHOLD:
-                want[a, b] = round(j, 9)
+            limit = min(canonical.allowed(a), canonical.allowed(b))
+            if len(x & y) >= max(1, max(len(x), len(y)) - canonical.EDIT_GRAMS * limit):
+                want[a, b] = round(len(x & y) / len(x | y), 9)
+            if canonical.distance(a, b, limit) <= limit and x & y:
+                assert (a, b) in want
     assert got == want
 
 
