@@ -37,6 +37,8 @@ STRONG = 100
 ODD_SHARE = 10
 BLOCK = 64
 TEXT_BLOCK = 512
+#: Characters from which a paragraph may end.
+PARAGRAPH = 1200
 #: Where a word has a number beside it in this share of its uses, a bare number there belongs to the sentence.
 NUMBER_DUE = 0.15
 #: Headers are broadcast up to this number, and joined by volume beyond it.
@@ -335,8 +337,11 @@ def bare_pages(every: DataFrame, stats: DataFrame) -> DataFrame:
     bare = every.filter("kind = 'bare'").withColumn("block", F.floor(F.col("idx") / BLOCK))
     before = _due(stats, "n").select(F.col("skeleton").alias("s_before"), F.col("due").alias("due_b"))
     after = _due(stats, "m").select(F.col("skeleton").alias("s_after"), F.col("due").alias("due_a"))
-    bare = bare.withColumn("s_before", skeleton(F.col("key"))).withColumn("s_after", skeleton(F.col("other"))).join(before, "s_before", "left").join(after, "s_after", "left")
-    bare = bare.filter("due_b is null and due_a is null")
+    bare = bare.withColumn("s_before", skeleton(F.col("key"))).withColumn("s_after", skeleton(F.col("other")))
+    # wide text has no words beside its numbers, so those rows meet nothing
+    worded, alone = bare.filter("s_before <> '' or s_after <> ''"), bare.filter("s_before = '' and s_after = ''")
+    due = worded.join(before, "s_before", "left").join(after, "s_after", "left").filter("due_b is null and due_a is null")
+    bare = due.select(alone.columns).unionByName(alone)
     room = (
         bare.select("row_id", "source_id", "block", "idx", "number", "key", "other")
         .join(near.select("source_id", "block", F.col("idx").alias("p_idx"), F.col("number").alias("p")), ["source_id", "block"], "left")
@@ -429,8 +434,8 @@ def repair(text: str, bare: list, decided: list[dict], suspects: set, never: dic
 
 
 def volume_text(sentences: DataFrame, pdf_sources: DataFrame) -> DataFrame:
-    """(source_id, block, paragraph, text): each volume's continuous text, in blocks of TEXT_BLOCK sentence indexes,
-    whose paragraphs end where a sentence ends and enough text has come together."""
+    """(source_id, block, paragraph, text): each volume's continuous text, in paragraphs that end where a sentence ends and
+    enough text has come together. Rows of one index with equal repaired texts add once, with different ones each."""
     rows = prepared(sentences, pdf_sources)
     stats = written(statistics(sentences), "scan-stats")
     right = wrong_words(stats).select("word", "right")
@@ -467,12 +472,27 @@ def volume_text(sentences: DataFrame, pdf_sources: DataFrame) -> DataFrame:
     fixed = clean.join(fixes, "row_id", "left")
     parts = F.split("text", r"(?<=[\p{L}\d])(?![\p{L}\d])|(?<![\p{L}\d])(?=[\p{L}\d])")
     repaired = F.when(F.col("fixes").isNull(), F.col("text")).otherwise(F.array_join(F.transform(parts, lambda p: F.coalesce(F.element_at("fixes", p), p)), ""))
-    once = fixed.withColumn("text", repaired).filter("text <> ''").groupBy("source_id", "idx").agg(F.min_by("text", "row_id").alias("text"))
-    block = F.floor(F.col("idx") / TEXT_BLOCK)
-    order = Window.partitionBy("source_id", "block").orderBy("idx")
-    sized = once.withColumn("block", block).withColumn("so_far", F.sum(F.length("text")).over(order)).withColumn("before", F.lag("text").over(order))
-    starts = (F.floor(F.col("so_far") / 1200) > F.floor((F.col("so_far") - F.length("text")) / 1200)) & F.col("before").rlike(r"[.!?。！？…”»」]$")
-    numbered = sized.withColumn("paragraph", F.sum(F.when(starts, 1).otherwise(0)).over(order))
+    once = fixed.withColumn("text", repaired).filter("text <> ''").groupBy("source_id", "idx", "text").agg(F.min("row_id").alias("row_id"))
+    return paragraphs(written(once, "scan-texts"))
+
+
+def paragraphs(once: DataFrame) -> DataFrame:
+    """(source_id, block, paragraph, text) of rows (source_id, idx, row_id, text): a paragraph ends behind a row that ends a
+    sentence, once PARAGRAPH characters have come together. Lengths and ends are counted within blocks of indexes and carried
+    over from block to block, so block edges don't show; block is that of a paragraph's first row."""
+    block = F.coalesce(F.floor(F.col("idx") / TEXT_BLOCK), F.lit(-1))
+    order = Window.partitionBy("source_id", "block").orderBy("idx", "row_id")
+    earlier = Window.partitionBy("source_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sized = once.withColumns({"block": block, "size": F.length("text"), "ends": F.col("text").rlike(r"[.!?。！？…”»」]$")})
+    sums = sized.groupBy("source_id", "block").agg(F.sum("size").alias("all"), F.max_by("ends", F.struct("idx", "row_id")).alias("last_ends"))
+    base = sums.select("source_id", "block", F.coalesce(F.sum("all").over(earlier), F.lit(0)).alias("base"), F.coalesce(F.lag("last_ends").over(Window.partitionBy("source_id").orderBy("block")), F.lit(False)).alias("before_block"))
+    so_far = F.col("base") + F.sum("size").over(order)
+    placed = sized.join(base, ["source_id", "block"]).withColumn("so_far", so_far).withColumn("before", F.coalesce(F.lag("ends").over(order), F.col("before_block")))
+    starts = (F.floor(F.col("so_far") / PARAGRAPH) > F.floor((F.col("so_far") - F.col("size")) / PARAGRAPH)) & F.col("before")
+    counted = placed.withColumn("nth", F.sum(F.when(starts, 1).otherwise(0)).over(order))
+    begun = counted.groupBy("source_id", "block").agg(F.max("nth").alias("begun"))
+    first = begun.select("source_id", "block", F.coalesce(F.sum("begun").over(earlier), F.lit(0)).alias("first"))
+    numbered = counted.join(first, ["source_id", "block"]).withColumn("paragraph", F.col("first") + F.col("nth"))
     glue = F.when(F.col("text").rlike("^[㐀-鿿“（]"), F.col("text")).otherwise(F.concat(F.lit(" "), F.col("text")))
-    gathered = numbered.groupBy("source_id", "block", "paragraph").agg(F.sort_array(F.collect_list(F.struct("idx", glue.alias("t")))).alias("parts"))
+    gathered = numbered.groupBy("source_id", "paragraph").agg(F.min("block").alias("block"), F.sort_array(F.collect_list(F.struct("idx", "row_id", glue.alias("t")))).alias("parts"))
     return gathered.select("source_id", F.col("block").cast("int").alias("block"), F.col("paragraph").cast("int").alias("paragraph"), F.trim(F.array_join(F.col("parts.t"), "")).alias("text"))

@@ -49,6 +49,19 @@ def test_text_has_what_was_found(spark):
     assert "札" not in text and "这台机器从来没有停过" in text and "没有人见过机器" in text
 
 
+def test_paragraphs_do_not_show_block_edges(spark, monkeypatch):
+    rows = [("v", i, i, "x " * (i % 7) + ("The drum held twelve entries and" if i % 3 else "no more of them.")) for i in range(121)] + [("v", 50, 900, "Another row of one index."), ("w", None, 1, "No index.")]
+    df = spark.createDataFrame(rows, "source_id string, idx int, row_id bigint, text string")
+    monkeypatch.setattr(scans, "PARAGRAPH", 200)
+    want = None
+    for size in (512, 7, 1):
+        monkeypatch.setattr(scans, "TEXT_BLOCK", size)
+        got = sorted((r["source_id"], r["paragraph"], r["text"]) for r in scans.paragraphs(df).collect())
+        want = want or got
+        assert got == want and len(got) > 10
+    assert all(t.endswith(".") for _, _, t in got) and "Another row" in " ".join(t for _, _, t in got)
+
+
 def test_helpers():
     assert scans.page_range("file:scans/v.pdf#pages=29-20") == (20, 29)
     assert scans.page_range("file:scans/v.pdf#pages=5-") == (5, None)
