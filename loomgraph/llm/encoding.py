@@ -12,6 +12,7 @@ are where they can't be decoded.
 
 from __future__ import annotations
 
+import bisect
 import re
 
 import pyarrow as pa
@@ -296,9 +297,10 @@ def spans(text: str) -> list[tuple[int, int, str, str]]:
     found.sort(key=lambda s: (-(s[1] - s[0]), s[0]))
     taken: list = []
     for s in found:
-        if all(s[1] <= t[0] or s[0] >= t[1] for t in taken):
-            taken.append(s)
-    return sorted(taken)
+        k = bisect.bisect(taken, s)
+        if (k == 0 or taken[k - 1][1] <= s[0]) and (k == len(taken) or s[1] <= taken[k][0]):
+            taken.insert(k, s)
+    return taken
 
 
 def inspect(text: str | None) -> list[tuple[int, int, str, str]]:
