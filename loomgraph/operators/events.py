@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -19,7 +19,10 @@ ARG = "struct<role:string,qid:string,mention:string,ner_label:string>"
 EVIDENCE = 10
 #: The roles that tell one event from another, by type; events without both aren't canonical.
 KEY_ROLES = {"AwardEvent": ("Recipient", "Award"), "EmploymentEvent": ("Person", "Organization"), "EducationEvent": ("Person", "Organization"), "PublicationEvent": ("Person", "WorkOrConcept")}
-LISTED = r"([A-Z][A-Za-z.'-]+(?:\s+[A-Z][A-Za-z.'-]+)+)\s*\(\s*in\s*((?:19|20)\d{2})\s*\)"
+#: A name and a year in a list of award winners, whatever its case; the phrase behind a publication's trigger.
+LISTED = r"(?i)([A-Z][A-Za-z.'-]+(?:\s+[A-Z][A-Za-z.'-]+)+)\s*\(\s*in\s*((?:19|20)\d{2})\s*\)"
+PUBLISHED_EN = r"(?i)\b(?:proposed|introduced|published)\b\s+(?:the\s+|a\s+|an\s+)?([^,.;]{3,80})"
+PUBLISHED_ZH = r"(?:提出|发表|发表于)([^。；，]{2,60})"
 
 
 def _arg(role: str, qid, mention, label: str) -> Column:
@@ -49,14 +52,17 @@ def _rows(df: DataFrame, event: Column | str, trig: Column, args: Column, method
 
 def award_events(df: DataFrame, names: DataFrame) -> DataFrame:
     """Award events. df: source_id, seed_id, seed_qid, sentence_idx, sentence, linked (array of qid, mention, ner_label).
-    names (mention, qid) links the names of lists such as 'Name (in YEAR)'; elsewhere the first two persons count."""
+    names (mention, qid) links the names of lists such as 'Name (in YEAR)'; where none is listed or none of them is linked,
+    the sentence's first two persons count."""
     t = trigger("sentence", "AwardEvent")
     rows = df.withColumn("t", t).filter("t is not null").withColumn("n", F.regexp_extract_all("sentence", F.lit(LISTED), F.lit(1))).withColumn("y", F.regexp_extract_all("sentence", F.lit(LISTED), F.lit(2)))
     pairs = rows.filter(F.size("n") > 0).withColumn("p", F.explode(F.arrays_zip("n", "y"))).withColumn("name", F.trim("p.n"))
     strong = pairs.join(names.select(F.col("mention").alias("name"), "qid"), "name")
     listed = _rows(strong, "AwardEvent", F.col("t"), F.array(_arg("Recipient", F.col("qid"), F.col("name"), "PER"), _arg("Award", F.col("seed_qid"), F.col("seed_qid"), ""), _arg("Time", F.lit(""), F.col("p.y"), "DATE")), "award_list_rule")
     year = T.first_year("sentence")
-    plain = rows.filter(F.size("n") == 0).withColumn("person", F.explode(F.slice(_of("PER"), 1, 2)))
+    keys = ["source_id", "seed_id", "seed_qid", "sentence_idx"]
+    rest = rows.filter(F.size("n") == 0).unionByName(rows.filter(F.size("n") > 0).join(strong.select(*keys).distinct(), keys, "left_anti"))
+    plain = rest.withColumn("person", F.explode(F.slice(_of("PER"), 1, 2)))
     args = F.array(_arg("Recipient", F.col("person.qid"), F.col("person.mention"), "PER"), _arg("Award", F.col("seed_qid"), F.col("seed_qid"), ""), F.when(year != "", _arg("Time", F.lit(""), year, "DATE")))
     return listed.unionByName(_rows(plain, "AwardEvent", F.col("t"), args, "award_linked_rule"))
 
@@ -84,7 +90,7 @@ def publication_events(df: DataFrame, names: DataFrame, person_seed: str, concep
     organisation or place, else the phrase as a literal; without any there is no event."""
     qid, men = _person(person_seed)
     en = T.zh_ratio("sentence") < EN_BELOW
-    phrase = F.when(en, F.regexp_extract("sentence", r"(?i)\b(?:proposed|introduced|published)\b\s+(?:the\s+|a\s+|an\s+)?([^,.;]{3,80})", 1)).otherwise(F.regexp_extract("sentence", r"(?:提出|发表|发表于)([^。；，]{2,60})", 1))
+    phrase = F.when(en, F.regexp_extract("sentence", PUBLISHED_EN, 1)).otherwise(F.regexp_extract("sentence", PUBLISHED_ZH, 1))
     rows = df.withColumn("t", trigger("sentence", "PublicationEvent")).withColumn("pq", qid).withColumn("pm", men).filter("t is not null and pq is not null").withColumn("phrase", F.trim(T.strip_marks(F.trim(phrase))))
     rows = rows.join(names.select(F.col("mention").alias("phrase"), F.col("qid").alias("o_qid")), "phrase", "left")
     other = F.get(F.filter("linked", lambda m: m["qid"].startswith("Q") & (m["qid"] != F.col("pq")) & m["ner_label"].isin("ORG", "LOC")), F.lit(0))
@@ -116,15 +122,17 @@ def with_key(events: DataFrame) -> DataFrame:
 
 
 def canonical(events: DataFrame) -> DataFrame:
-    """One row for each canonical event over all sources: count, name, united arguments, first evidence."""
+    """One row for each canonical event over all sources: count, name, united arguments, first evidence. Evidence is ranked
+    and cut, and arguments are made distinct, before anything is gathered, so a common event is no large row."""
     keyed = with_key(events)
     order = F.struct("source_id", "sentence_idx", "event_id")
-    return keyed.groupBy("can_id", "event_type").agg(
-        F.count("*").alias("evidence_count"),
-        F.min_by("trigger", order).alias("name"),
-        F.array_sort(F.collect_set(F.transform("args", lambda a: F.concat_ws("|", a["role"], a["qid"], F.lower(a["mention"]))))).alias("arg_sets"),
-        F.slice(F.array_sort(F.collect_set(order)), 1, EVIDENCE).alias("evidence"),
-    ).withColumn("args", F.array_sort(F.array_distinct(F.flatten("arg_sets")))).drop("arg_sets")
+    whole = keyed.groupBy("can_id", "event_type").agg(F.count("*").alias("evidence_count"), F.min_by("trigger", order).alias("name"))
+    once = keyed.select("can_id", "source_id", "sentence_idx", "event_id").distinct()
+    nth = F.row_number().over(Window.partitionBy("can_id").orderBy("source_id", "sentence_idx", "event_id"))
+    first = once.withColumn("nth", nth).filter(F.col("nth") <= EVIDENCE).groupBy("can_id").agg(F.array_sort(F.collect_list(order)).alias("evidence"))
+    each = keyed.select("can_id", F.explode("args").alias("a")).select("can_id", F.concat_ws("|", "a.role", "a.qid", F.lower("a.mention")).alias("arg")).distinct()
+    args = each.groupBy("can_id").agg(F.array_sort(F.collect_list("arg")).alias("args"))
+    return whole.join(first, "can_id").join(args, "can_id", "left")
 
 
 def edges(events: DataFrame) -> DataFrame:

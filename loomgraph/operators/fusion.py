@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_LIST = 32
+#: Fields that the first row of a statement gives.
+FIRST = ("subject_qid", "object_qid", "object_mention", "ner_label", "citation_key", "seed_qid", "predicate_prop_id", "object_is_literal", "reasons")
 
 
 def object_key() -> Column:
@@ -33,21 +35,35 @@ def merge(triples: DataFrame, order: str = "row_id", by_source: bool = True) ->
         F.array_join(F.array_sort(F.collect_set(F.nullif("extraction_method", F.lit("")))), "|").alias("methods"),
         _longest("evidence_sentence", order).alias("evidence_sentence"),
         _longest("snippet", order).alias("snippet"),
-        F.min_by(F.struct("subject_qid", "object_qid", "object_mention", "ner_label", "citation_key"), order).alias("f"),
+        F.min_by(F.struct(*[c for c in FIRST if c in rows.columns]), order).alias("f"),
         F.min(order).alias("first_row"),
     )
     return out.select(*keys, "n", "relevance", "link", "methods", "evidence_sentence", "snippet", "f.*", "first_row")
 
 
+REASONS = "anchor_hits array<string>, trigger_hits array<string>, nearby_anchor boolean, window_expanded boolean, window_from_sentence_idx int"
+LISTS = ("anchor_hits", "trigger_hits")
+
+
 def merge_reasons(triples: DataFrame, keys: list[str], order: str = "row_id") -> DataFrame:
     """Reasons (JSON) fused: lists united up to MAX_LIST entries in order, flags by or, numbers by maximum. Text that isn't
-    whole JSON gives nothing."""
-    schema = "anchor_hits array<string>, trigger_hits array<string>, nearby_anchor boolean, window_expanded boolean, window_from_sentence_idx int"
-    parsed = triples.withColumn("r", F.from_json(F.when(F.try_parse_json("reasons").isNotNull(), F.col("reasons")), schema))
-    lists = parsed.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct(order, F.coalesce("r.anchor_hits", F.array().cast("array<string>")).alias("a"), F.coalesce("r.trigger_hits", F.array().cast("array<string>")).alias("t")))).alias("all"),
-        F.max(F.coalesce("r.nearby_anchor", F.lit(False))).alias("nearby_anchor"),
-        F.max(F.coalesce("r.window_expanded", F.lit(False))).alias("window_expanded"),
+    whole JSON gives nothing. Entries are made distinct, ranked and cut before they are gathered."""
+    parsed = triples.withColumn("r", F.from_json(F.when(F.try_parse_json("reasons").isNotNull(), F.col("reasons")), REASONS))
+    out = parsed.groupBy(*keys).agg(
+        F.max(F.coalesce("r.nearby_anchor", F.lit(False))).alias("nearby_anchor"), F.max(F.coalesce("r.window_expanded", F.lit(False))).alias("window_expanded"),
         F.max("r.window_from_sentence_idx").alias("window_from_sentence_idx"),
-    )
-    return lists.select(*keys, F.slice(F.array_distinct(F.flatten("all.a")), 1, MAX_LIST).alias("anchor_hits"), F.slice(F.array_distinct(F.flatten("all.t")), 1, MAX_LIST).alias("trigger_hits"), "nearby_anchor", "window_expanded", "window_from_sentence_idx")
+    )
+    same = lambda other: [F.col(f"o.{k}").eqNullSafe(other[f"k_{k}"]) for k in keys]
+    for name in LISTS:
+        each = parsed.select(*keys, order, F.posexplode(f"r.{name}").alias("at", "v"))
+        once = each.groupBy(*keys, "v").agg(F.min(F.struct(order, "at")).alias("o"))
+        nth = F.row_number().over(Window.partitionBy(*keys).orderBy("o"))
+        cut = once.withColumn("nth", nth).filter(F.col("nth") <= MAX_LIST)
+        lists = cut.groupBy(*[F.col(k).alias(f"k_{k}") for k in keys]).agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "v"))), lambda x: x["v"]).alias(name))
+        out = out.alias("o").join(lists, same(lists), "left").drop(*[f"k_{k}" for k in keys]).withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+    return out.select(*keys, *LISTS, "nearby_anchor", "window_expanded", "window_from_sentence_idx")
+
+
+def reasons_json(merged: DataFrame) -> DataFrame:
+    """Fused reasons written as JSON again (column reasons); fields without a value are left out."""
+    return merged.withColumn("reasons", F.to_json(F.struct(*LISTS, "nearby_anchor", "window_expanded", "window_from_sentence_idx"))).drop(*LISTS, "nearby_anchor", "window_expanded", "window_from_sentence_idx")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 DROPPED_PROPS = ("P910", "P1424")
+LIFE_PROPS = ("P569", "P570")
 TOP_KINDS = ("Person", "Award", "Concept", "Organization", "Location", "Work")
 FACTS = ("wikidata", "wikidata_incoming")
 #: Display labels of properties.
@@ -20,24 +21,60 @@ PROP_LABELS = {"P31": "实例", "P279": "子类", "P361": "隶属于", "P127": "
 INCOMING = {"Q163310": (("P800", "P921", "P1343", "P361", "P366", "P2579", "P1535"), 50), "Q185667": (("P166", "P1343", "P921", "P361", "P1344"), 45)}
 #: Labels that types (instance of, subclass of) give, one line for each label.
 TYPE_LABELS = {
-    "Person": "Q5",
-    "Award": "Q618779 Q11448906 Q19020 Q20006438", "Fellowship": "Q20006438", "Prize": "Q19020",
-    "Organization": "Q43229 Q484652 Q79913 Q327333 Q96888669 Q1194970 Q891723 Q1589009 Q129492653",
-    "GovernmentAgency": "Q327333", "Company": "Q1194970 Q891723", "MediaCompany": "Q1589009", "Publisher": "Q96888669", "MilitaryOrganization": "Q129492653",
-    "University": "Q3918 Q902104 Q15936437", "School": "Q2418495 Q269770 Q1713379 Q5155053 Q9842", "Archive": "Q27032435", "Library": "Q1574516",
-    "Location": "Q17334923 Q2221906 Q515 Q6256 Q82794 Q33742 Q1288568 Q34770 Q3957 Q2755753 Q4919932 Q157570 Q7265244",
-    "Country": "Q6256 Q1288568", "City": "Q515 Q3957 Q2755753", "Facility": "Q4919932 Q7265244 Q157570",
-    "Work": "Q13442814 Q10383930 Q3331189 Q10870555 Q21114848 Q41298", "ScholarlyArticle": "Q13442814", "Paper": "Q13442814", "Journal": "Q10383930",
-    "Periodical": "Q21114848 Q41298", "WorkVersion": "Q3331189", "Report": "Q10870555",
-    "Concept": "Q151885 Q7184903 Q33104279 Q28640 Q12737077 Q11862829 Q1047113 Q483394 Q24034552 Q1936384 Q123370638 Q112193867 Q31629 Q4830453 Q137172521 Q101352 Q12308941 Q14204246 Q16695773 Q51539995 Q10823887 Q14827288 Q33120876 Q136375263",
-    "Profession": "Q28640", "Occupation": "Q12737077", "Discipline": "Q11862829 Q4671286", "Field": "Q1047113 Q1936384 Q123370638", "Science": "Q7991 Q901",
-    "Mathematics": "Q901 Q1936384", "ComputerScience": "Q123370638", "Logic": "Q816264", "MathematicalConcept": "Q24034552", "MathematicsBranch": "Q1936384",
-    "ComputerScienceBranch": "Q123370638", "DiseaseClass": "Q112193867", "SportType": "Q31629", "Business": "Q4830453", "Machine": "Q137172521", "Automaton": "Q137172521",
-    "Name": "Q101352 Q12308941", "FamilyName": "Q101352", "GivenName": "Q12308941",
-    "Wikimedia": "Q14204246 Q16695773 Q51539995 Q10823887 Q14827288 Q33120876 Q136375263", "WikiProject": "Q16695773 Q51539995",
-}
+    "Person": ("Q5",),
+    "Award": ("Q618779", "Q11448906", "Q19020", "Q20006438"),
+    "Fellowship": ("Q20006438",),
+    "Prize": ("Q19020",),
+    "Organization": ("Q43229", "Q484652", "Q79913", "Q327333", "Q96888669", "Q1194970", "Q891723", "Q1589009", "Q129492653"),
+    "GovernmentAgency": ("Q327333",),
+    "Company": ("Q1194970", "Q891723"),
+    "MediaCompany": ("Q1589009",),
+    "Publisher": ("Q96888669",),
+    "MilitaryOrganization": ("Q129492653",),
+    "University": ("Q3918", "Q902104", "Q15936437"),
+    "School": ("Q2418495", "Q269770", "Q1713379", "Q5155053", "Q9842"),
+    "Archive": ("Q27032435",),
+    "Library": ("Q1574516",),
+    "Location": ("Q17334923", "Q2221906", "Q515", "Q6256", "Q82794", "Q33742", "Q1288568", "Q34770", "Q3957", "Q2755753", "Q4919932", "Q157570", "Q7265244"),
+    "Country": ("Q6256", "Q1288568"),
+    "City": ("Q515", "Q3957", "Q2755753"),
+    "Facility": ("Q4919932", "Q7265244", "Q157570"),
+    "Work": ("Q13442814", "Q10383930", "Q3331189", "Q10870555", "Q21114848", "Q41298"),
+    "ScholarlyArticle": ("Q13442814",),
+    "Paper": ("Q13442814",),
+    "Journal": ("Q10383930",),
+    "Periodical": ("Q21114848", "Q41298"),
+    "WorkVersion": ("Q3331189",),
+    "Report": ("Q10870555",),
+    "Concept": ("Q151885", "Q7184903", "Q33104279", "Q28640", "Q12737077", "Q11862829", "Q1047113", "Q483394", "Q24034552", "Q1936384", "Q123370638", "Q112193867", "Q31629", "Q4830453", "Q137172521", "Q101352", "Q12308941", "Q14204246", "Q16695773", "Q51539995", "Q10823887", "Q14827288", "Q33120876", "Q136375263"),
+    "Profession": ("Q28640",),
+    "Occupation": ("Q12737077",),
+    "Discipline": ("Q11862829", "Q4671286"),
+    "Field": ("Q1047113", "Q1936384", "Q123370638"),
+    "Science": ("Q7991", "Q901"),
+    "Mathematics": ("Q901", "Q1936384"),
+    "ComputerScience": ("Q123370638",),
+    "Logic": ("Q816264",),
+    "MathematicalConcept": ("Q24034552",),
+    "MathematicsBranch": ("Q1936384",),
+    "ComputerScienceBranch": ("Q123370638",),
+    "DiseaseClass": ("Q112193867",),
+    "SportType": ("Q31629",),
+    "Business": ("Q4830453",),
+    "Machine": ("Q137172521",),
+    "Automaton": ("Q137172521",),
+    "Name": ("Q101352", "Q12308941"),
+    "FamilyName": ("Q101352",),
+    "GivenName": ("Q12308941",),
+    "Wikimedia": ("Q14204246", "Q16695773", "Q51539995", "Q10823887", "Q14827288", "Q33120876", "Q136375263"),
+    "WikiProject": ("Q16695773", "Q51539995"),
+}
 #: The label that finer labels bring with them.
-PARENTS = {"Organization": "University School Company Publisher GovernmentAgency Archive Library MediaCompany MilitaryOrganization", "Location": "Country City Facility", "Work": "ScholarlyArticle Paper Journal Periodical WorkVersion Report"}
+PARENTS = {
+    "Organization": ("University", "School", "Company", "Publisher", "GovernmentAgency", "Archive", "Library", "MediaCompany", "MilitaryOrganization"),
+    "Location": ("Country", "City", "Facility"),
+    "Work": ("ScholarlyArticle", "Paper", "Journal", "Periodical", "WorkVersion", "Report"),
+}
 
 
 def claims_from_entities(entities: DataFrame) -> DataFrame:
@@ -66,21 +103,24 @@ def neighbourhood(claims: DataFrame, roots: DataFrame) -> DataFrame:
     return first.unionByName(e.join(onward, "subject", "left_semi").withColumn("steps", F.lit(2)))
 
 
-def _type_table(spark, rules: dict[str, str]) -> DataFrame:
-    return spark.createDataFrame([(q, label) for label, qs in rules.items() for q in qs.split()], "type_qid string, label string")
+def _type_table(spark, rules: dict[str, tuple[str, ...]], parents: dict[str, tuple[str, ...]]) -> DataFrame:
+    """type_qid, labels: what each type gives, with the labels that those bring along."""
+    by: dict[str, set[str]] = {}
+    for label, qids in rules.items():
+        for q in qids:
+            by.setdefault(q, set()).update({label, *(p for p, cs in parents.items() if label in cs)})
+    return spark.createDataFrame([(q, sorted(labels)) for q, labels in by.items()], "type_qid string, given array<string>")
 
 
-def labels_of_types(claims: DataFrame, rules: dict[str, str] | None = None, parents: dict[str, str] | None = None) -> DataFrame:
+def labels_of_types(claims: DataFrame, rules: dict | None = None, parents: dict | None = None) -> DataFrame:
     """id, labels: what an entity's types (P31, P279) give, with the labels that those bring along; Concept where an
-    entity has types but none is known."""
-    spark = claims.sparkSession
-    types = item_edges(claims).filter(F.col("prop_id").isin("P31", "P279")).select(F.col("subject").alias("id"), F.col("target_qid").alias("type_qid")).distinct()
-    table = _type_table(spark, rules or TYPE_LABELS)
-    up = spark.createDataFrame([(c, p) for p, cs in (parents or PARENTS).items() for c in cs.split()], "label string, parent string")
-    own = types.join(F.broadcast(table), "type_qid").select("id", "label")
-    more = own.join(F.broadcast(up), "label").select("id", F.col("parent").alias("label"))
-    none = types.select("id").distinct().join(own.select("id").distinct(), "id", "left_anti").withColumn("label", F.lit("Concept"))
-    return own.unionByName(more).unionByName(none).groupBy("id").agg(F.sort_array(F.collect_set("label")).alias("labels"))
+    entity has types but none is known. One pass over the claims and one exchange."""
+    table = _type_table(claims.sparkSession, rules or TYPE_LABELS, parents or PARENTS)
+    types = item_edges(claims.filter(F.col("prop_id").isin("P31", "P279"))).select(F.col("subject").alias("id"), F.col("target_qid").alias("type_qid"))
+    none = F.array(F.lit(None).cast("string"))
+    each = types.join(F.broadcast(table), "type_qid", "left").select("id", F.explode(F.coalesce("given", none)).alias("label"))
+    labels = each.groupBy("id").agg(F.array_sort(F.collect_set("label")).alias("labels"))
+    return labels.withColumn("labels", F.when(F.size("labels") == 0, F.array(F.lit("Concept"))).otherwise(F.col("labels")))
 
 
 def coarse_kind(labels) -> Column:
@@ -98,15 +138,50 @@ def outgoing(claims: DataFrame) -> DataFrame:
     return edges(e.select(F.col("subject").alias("start_id"), F.col("target_qid").alias("end_id"), "prop_id", F.lit("wikidata").alias("provenance")))
 
 
+def birth_and_death(claims: DataFrame, roots: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """id, extra: the roots' birth and death (P569, P570) as "label: value", joined in order. roots: id; names: id, label."""
+    own = literals(claims.filter(F.col("prop_id").isin(*LIFE_PROPS))).join(roots.select(F.col("id").alias("subject")).distinct(), "subject", "left_semi")
+    shown = own.join(names.select(F.col("id").alias("prop_id"), "label"), "prop_id", "left") if names is not None else own.withColumn("label", F.lit(None).cast("string"))
+    part = F.concat(F.coalesce("label", "prop_id"), F.lit(": "), F.col("literal"))
+    return shown.select(F.col("subject").alias("id"), part.alias("part")).distinct().groupBy("id").agg(F.array_join(F.array_sort(F.collect_list("part")), " | ").alias("extra"))
+
+
+def seed_labels(seeds: list, ord_no: int = 90) -> list[tuple]:
+    """Contributions that give seeds their type as a label: (id, name, extra, labels, ord)."""
+    return [(s.qid, "", "", [s.type], ord_no) for s in seeds if s.qid.startswith("Q") and s.type.strip()]
+
+
+def structured(claims: DataFrame, seeds: list, focal: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """(contributions, edges) of the structured layer for all seeds at once: their own claims, what the targets are,
+    births and deaths, the seeds' types, and the edges that come in at focal entities."""
+    spark = claims.sparkSession
+    roots = spark.createDataFrame([(s.qid,) for s in seeds if s.qid.startswith("Q")] or [("",)], "id string")
+    own = claims.join(F.broadcast(roots.select(F.col("id").alias("subject"))), "subject", "left_semi")
+    out = outgoing(own)
+    every = out.unionByName(incoming(claims, out, INCOMING if focal is None else focal))
+    ends = every.select(F.col("start_id").alias("id")).unionByName(every.select(F.col("end_id").alias("id"))).unionByName(roots.filter("id <> ''")).distinct()
+    typed = labels_of_types(claims.filter(F.col("prop_id").isin("P31", "P279")).join(ends.select(F.col("id").alias("subject")), "subject", "left_semi"))
+    lives = birth_and_death(claims, roots)
+    empty = F.array().cast("array<string>")
+    rows = ends.join(typed, "id", "left").join(lives, "id", "left").select("id", F.lit("").alias("name"), F.coalesce("extra", F.lit("")).alias("extra"), F.coalesce("labels", empty).alias("labels"), F.lit(0).alias("ord"))
+    own_types = spark.createDataFrame(seed_labels(seeds), "id string, name string, extra string, labels array<string>, ord int")
+    return rows.unionByName(own_types), every
+
+
 def incoming(claims: DataFrame, known: DataFrame, focal: dict = INCOMING) -> DataFrame:
     """Edges that come in at focal entities, the first of each entity's limit by subject and property, without those
-    that known (start_id, end_id, prop_id) has already."""
-    spark = claims.sparkSession
-    table = spark.createDataFrame([(q, p, n) for q, (ps, n) in focal.items() for p in ps] or [("", "", 0)], "target_qid string, prop_id string, most int")
-    e = item_edges(claims).distinct().join(F.broadcast(table), ["target_qid", "prop_id"])
-    first = e.withColumn("nth", F.row_number().over(Window.partitionBy("target_qid").orderBy("subject", "prop_id"))).filter(F.col("nth") <= F.col("most"))
-    named = first.select(F.col("subject").alias("start_id"), F.col("target_qid").alias("end_id"), "prop_id", F.lit("wikidata_incoming").alias("provenance"))
-    return edges(named.join(known.select("start_id", "end_id", "prop_id").distinct(), ["start_id", "end_id", "prop_id"], "left_anti"))
+    that known (start_id, end_id, prop_id) has already. Each focal entity's edges are filtered, made distinct and cut to
+    its limit by a top-k of its own, so an entity with very many of them is no large task."""
+    out = None
+    for q, (props, most) in focal.items():
+        own = item_edges(claims.filter((F.col("target_qid") == q) & F.col("prop_id").isin(*props))).distinct()
+        first = own.orderBy("subject", "prop_id").limit(most)
+        out = first if out is None else out.unionByName(first)
+    if out is None:
+        out = item_edges(claims).limit(0)
+    named = out.select(F.col("subject").alias("start_id"), F.col("target_qid").alias("end_id"), "prop_id", F.lit("wikidata_incoming").alias("provenance"))
+    near = known.filter(F.col("end_id").isin(*focal)).select("start_id", "end_id", "prop_id").distinct()
+    return edges(named.join(near, ["start_id", "end_id", "prop_id"], "left_anti"))
 
 
 def layer(provenance) -> Column:
@@ -132,7 +207,9 @@ def nodes(contributions: DataFrame) -> DataFrame:
     name = F.coalesce("name", F.lit(""))
     good = F.when((name != "") & (name != F.col("id")), F.struct("ord", name.alias("name")))
     extra = F.when(F.coalesce("extra", F.lit("")) != "", F.struct("ord", "extra"))
-    base = contributions.groupBy("id").agg(F.min(good).alias("n"), F.max(extra).alias("e"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("labels", F.array().cast("array<string>")))))).alias("labels"))
+    named = contributions.groupBy("id").agg(F.min(good).alias("n"), F.max(extra).alias("e"))
+    labels = contributions.select("id", F.explode("labels").alias("label")).filter("label is not null").distinct().groupBy("id").agg(F.array_sort(F.collect_list("label")).alias("labels"))
+    base = named.join(labels, "id", "left").withColumn("labels", F.coalesce("labels", F.array().cast("array<string>")))
     props = contributions.select("id", "ord", F.explode(F.map_entries("props")).alias("p")).filter("p.value is not null").groupBy("id", "p.key").agg(F.max_by("p.value", "ord").alias("value"))
     maps = props.groupBy("id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "value")))).alias("props"))
     return base.join(maps, "id", "left").select("id", F.coalesce("n.name", "id").alias("name"), F.coalesce("e.extra", F.lit("")).alias("extra"), "labels", "props")
@@ -173,7 +250,7 @@ def find_nodes(graph_nodes: DataFrame, node_id: str = "", part: str = "", most:
 
 def root_facts(graph_edges: DataFrame, graph_nodes: DataFrame, root: str, most: int = 100) -> DataFrame:
     own = graph_edges.filter((F.col("layer") == "facts") & (F.col("start_id") == root))
-    return own.join(graph_nodes.select(F.col("id").alias("end_id"), F.col("name").alias("end_name")), "end_id").orderBy("rel_type", "end_id").limit(most)
+    return own.join(graph_nodes.select(F.col("id").alias("end_id"), F.col("name").alias("end_name")), "end_id").orderBy("rel_type", "end_id", "edge_id").limit(most)
 
 
 def top_evidence(graph_edges: DataFrame, most: int = 100) -> DataFrame:
@@ -187,5 +264,14 @@ def supported(graph_edges: DataFrame) -> DataFrame:
     return text.join(facts, ["start_id", "end_id", "prop_id"], "left").withColumn("is_supporting_fact", F.coalesce("known", F.lit(False)).cast("int")).drop("known")
 
 
+def supporting_evidence(graph_edges: DataFrame, graph_nodes: DataFrame, most: int = 100, provenance: str = "text_re") -> DataFrame:
+    """Text edges that a fact supports with the names of both ends, the best scores first (ties: edge_id). graph_edges:
+    is_supporting_fact and score among the columns."""
+    hit = graph_edges.filter((F.col("provenance") == provenance) & (F.col("is_supporting_fact") == 1))
+    names = lambda end: graph_nodes.select(F.col("id").alias(f"{end}_id"), F.col("name").alias(f"{end}_name"))
+    both = hit.join(names("start"), "start_id").join(names("end"), "end_id")
+    return both.orderBy(F.desc(F.coalesce("score", F.lit(0.0))), "edge_id").limit(most)
+
+
 def by_provenance(graph_edges: DataFrame) -> DataFrame:
     return graph_edges.groupBy("provenance").agg(F.count("*").alias("edges"))

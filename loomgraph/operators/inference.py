@@ -15,9 +15,12 @@ PLACE_WORDS = ("国籍", "公民", "国家", "位于", "在", "来自", "出生"
 STUDY_VETO = ("P108", "P1416")
 #: The kind that a property's object must have.
 RANGES = {
-    "Location": "P19 P20 P27 P551 P17 P276", "Organization": "P69 P108 P1416 P361 P127 P137", "Award": "P166", "Concept": "P800 P279 P31",
-}
-PLACE_PROPS = tuple(RANGES["Location"].split())
+    "Location": ("P19", "P20", "P27", "P551", "P17", "P276"),
+    "Organization": ("P69", "P108", "P1416", "P361", "P127", "P137"),
+    "Award": ("P166",),
+    "Concept": ("P800", "P279", "P31"),
+}
+PLACE_PROPS = RANGES["Location"]
 TAU = 0.5
 #: Bags of each label that a network is trained on at most; they are gathered in the driver. Predictions are made of all bags.
 TRAIN_BAGS = 100
@@ -149,11 +152,11 @@ def in_space(predictions: DataFrame, spaces: DataFrame) -> DataFrame:
     return predictions.join(F.broadcast(spaces.select("seed_type", F.col("prop_id").alias("predicted_label")).distinct()), ["seed_type", "predicted_label"], "left_semi")
 
 
-def range_fits(predictions: DataFrame, object_labels: DataFrame, ranges: dict[str, str] = RANGES) -> DataFrame:
+def range_fits(predictions: DataFrame, object_labels: DataFrame, ranges: dict[str, tuple[str, ...]] = RANGES) -> DataFrame:
     """Predictions whose object has the kind that the property asks for; other properties pass. object_labels: id, labels."""
     need = F.lit("")
     for kind, props in ranges.items():
-        need = F.when(F.col("predicted_label").isin(*props.split()), kind).otherwise(need)
+        need = F.when(F.col("predicted_label").isin(*props), kind).otherwise(need)
     both = predictions.join(object_labels.select(F.col("id").alias("object_qid"), "labels"), "object_qid", "left")
     return both.withColumn("need", need).filter((F.col("need") == "") | F.array_contains(F.coalesce("labels", F.array().cast("array<string>")), F.col("need"))).drop("need", "labels")
 
@@ -172,14 +175,52 @@ def text_fits(predictions: DataFrame, schema: DataFrame, sentence: str = "top_se
 
 
 def best_of_each(predictions: DataFrame, evidence: int = 8) -> DataFrame:
-    """One row for each statement: the highest score (the first row on a tie), and all its evidence, at most so many texts."""
+    """One row for each statement: the highest score (the first row on a tie), how many rows and different texts it has, and
+    the first of those texts in order, at most so many; texts are made distinct and cut before they are gathered."""
+    keys = ["subject_qid", "object_qid", "prop_id"]
+    named = predictions.withColumn("prop_id", F.col("predicted_label"))
     order = F.struct(-F.col("predicted_prob"), "row_id")
-    return predictions.groupBy("subject_qid", "object_qid", F.col("predicted_label").alias("prop_id")).agg(
-        F.max("predicted_prob").alias("score"), F.min_by(F.struct("source_url", "citation_key", "top_sentence", "row_id"), order).alias("best"),
-        F.slice(F.array_sort(F.collect_set("top_sentence")), 1, evidence).alias("evidence"), F.count("*").alias("n"),
+    best = named.groupBy(*keys).agg(F.max("predicted_prob").alias("score"), F.min_by(F.struct("seed_id", "seed_type", "source_url", "citation_key", "top_sentence", "row_id"), order).alias("best"), F.count("*").alias("n"))
+    once = named.filter("top_sentence is not null").select(*keys, "top_sentence").distinct()
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("top_sentence"))
+    texts = once.groupBy(*keys).agg(F.count("*").alias("texts"))
+    cut = once.withColumn("nth", nth).filter(F.col("nth") <= evidence).groupBy(*keys).agg(F.array_sort(F.collect_list("top_sentence")).alias("evidence"))
+    return best.join(texts, keys, "left").join(cut, keys, "left").withColumn("texts", F.coalesce("texts", F.lit(0))).withColumn("evidence", F.coalesce("evidence", F.array().cast("array<string>")))
+
+
+def prop_labels(schema: DataFrame) -> DataFrame:
+    """prop_id, shown: the label that a property is shown by: the Chinese one, else the English one, else itself."""
+    shown = F.coalesce(F.nullif(F.trim("label_zh"), F.lit("")), F.nullif(F.trim("label"), F.lit("")), F.col("prop_id"))
+    return schema.groupBy("prop_id").agg(F.min(shown).alias("shown"))
+
+
+def prediction_triples(predictions: DataFrame, schema: DataFrame, taus: dict[str, float] | None = None, default: float = TAU) -> DataFrame:
+    """The eighteen columns of a triple for every prediction above its threshold, which is applied anew: it may have changed
+    since the prediction was made. predictions: the evidence laid flat; a missing sentence index gives an empty text."""
+    tau = F.lit(default)
+    for kind, t in (taus or {}).items():
+        tau = F.when(F.col("seed_type") == kind, t).otherwise(tau)
+    kept = above_threshold(predictions, taus, default).join(F.broadcast(prop_labels(schema)), F.col("predicted_label") == F.col("prop_id"), "left")
+    text, model = F.coalesce("top_sentence", F.lit("")), F.coalesce(F.nullif("model", F.lit("")), F.lit("pcnn_mil"))
+    none = lambda c: F.coalesce(F.col(c), F.lit(""))
+    score = F.format_string("%.4f", F.col("predicted_prob"))
+    at = F.when(F.col("top_sentence_idx") >= 0, F.col("top_sentence_idx").cast("string")).otherwise("")
+    return kept.select(
+        none("subject_qid").alias("subject_qid"), none("seed_id").alias("seed_id"), none("subject_qid").alias("seed_qid"), F.coalesce(at, F.lit("")).alias("sentence_idx"), score.alias("relevance_score"),
+        F.to_json(F.struct(none("bag_id").alias("bag_id"), F.lit(True).alias("mil"), tau.alias("tau"))).alias("reasons"), F.substring(text, 1, 500).alias("evidence_sentence"),
+        F.coalesce("shown", "predicted_label").alias("predicate"), F.col("predicted_label").alias("predicate_prop_id"), F.lit("").alias("object_mention"), none("object_qid").alias("object_qid"),
+        F.lit("0").alias("object_is_literal"), F.lit("").alias("ner_label"), score.alias("link_score"), none("citation_key").alias("citation_key"), none("source_url").alias("source_url"),
+        F.concat(F.lit("["), model, F.lit("] "), F.substring(text, 1, 400)).alias("snippet"), F.concat(model, F.lit(":"), "predicted_label").alias("extraction_method"),
     )
 
 
+def prediction_edges(predictions: DataFrame, schema: DataFrame, spaces: DataFrame, object_labels: DataFrame, facts: DataFrame, taus: dict[str, float] | None = None, default: float = TAU) -> DataFrame:
+    """Statements of predictions that pass all gates (threshold, allowed properties, kind of object, what the sentence says),
+    each once with its best score and its evidence, and whether facts (subject, prop_id, target_qid) hold the same."""
+    kept = in_space(above_threshold(predictions, taus, default), spaces)
+    return with_support(best_of_each(text_fits(range_fits(kept, object_labels), schema)), facts)
+
+
 def with_support(statements: DataFrame, facts: DataFrame) -> DataFrame:
     """Statements with a flag whether facts (subject, prop_id, target_qid) hold the same."""
     known = facts.select(F.col("subject").alias("subject_qid"), F.col("target_qid").alias("object_qid"), "prop_id").distinct().withColumn("known", F.lit(1))

@@ -96,11 +96,12 @@ def with_candidate_sets(candidates_: DataFrame) -> DataFrame:
     return candidates_.withColumns({"_said": T.tokens(F.concat_ws(" ", lab, F.coalesce("description", F.lit("")))), "_l": T.char_ngrams(lab)})
 
 
-def scored(pairs: DataFrame) -> DataFrame:
+def scored(pairs: DataFrame, breakdown: bool = False) -> DataFrame:
     """pairs of mentions in context and candidates (mention, context, id, label, description, ord), with their score: by
     the label, the words that candidate and context share, the n-grams of mention and label, the place in the list.
 
     The sets come from with_mention_sets and with_candidate_sets; where they are missing they are worked out here.
+    breakdown adds a struct of the parts.
     """
     m, lab = F.lower(F.trim("mention")), F.coalesce(F.trim("label"), F.lit(""))
     sets = pairs.filter(F.col("id").startswith("Q"))
@@ -108,7 +109,12 @@ def scored(pairs: DataFrame) -> DataFrame:
     sets = sets if "_l" in pairs.columns else with_candidate_sets(sets)
     bonus = F.when(F.lower(lab) == m, 0.4).when((lab != "") & F.contains(F.lower(lab), m), 0.22).otherwise(0.0)
     prior = F.greatest(F.lit(0.0), 0.12 - 0.015 * F.col("ord"))
-    return sets.withColumn("score", bonus + 0.55 * T.set_jaccard("_context", "_said") + 0.35 * T.set_jaccard("_m", "_l") + prior).drop("_context", "_said", "_m", "_l")
+    parts = sets.withColumns({"_bonus": bonus, "_words": T.set_jaccard("_context", "_said"), "_grams": T.set_jaccard("_m", "_l"), "_prior": prior})
+    out = parts.withColumn("score", F.col("_bonus") + 0.55 * F.col("_words") + 0.35 * F.col("_grams") + F.col("_prior"))
+    if breakdown:
+        exact = (F.lower(lab) == m).alias("label_exact")
+        out = out.withColumn("breakdown", F.struct("label", "description", exact, F.col("_words").alias("context_jaccard"), F.col("_grams").alias("char_ngram_jaccard_3"), F.col("_prior").alias("position_prior"), F.col("_bonus").alias("label_bonus")))
+    return out.drop("_context", "_said", "_m", "_l", "_bonus", "_words", "_grams", "_prior")
 
 
 def accepted(rows: DataFrame, keys: list[str], min_score: float = MIN_SCORE) -> DataFrame:
@@ -117,6 +123,42 @@ def accepted(rows: DataFrame, keys: list[str], min_score: float = MIN_SCORE) ->
     return best.select(*keys, F.when((-F.col("b.minus") >= min_score) | (F.col("n") == 1), F.col("b.id")).alias("qid"), (-F.col("b.minus")).alias("score"), "n")
 
 
+OVERRIDE = "struct<matched_key:string,qid:string,source:string>"
+SCORES = "array<struct<qid:string,score:double,breakdown:struct<label:string,description:string,label_exact:boolean,context_jaccard:double,char_ngram_jaccard_3:double,position_prior:double,label_bonus:double>>>"
+
+
+def audited(mentions: DataFrame, listed: DataFrame, min_score: float = MIN_SCORE, rules=CONTEXT_RULES, limit: int = CANDIDATES_BY_LANGUAGE) -> DataFrame:
+    """One row for each mention in context with what led to its entity: chosen_qid, chosen_score, override_hit (a context
+    rule, or a listed alias that the mention contains), and candidate_scores, best first, with the parts of each score.
+
+    mentions: mention, context. listed: alias, qid, line_no. A listed alias ends the search, so such a mention has no
+    candidate scores and takes no part in joint decoding; mentions of fewer than two characters have nothing.
+    """
+    pairs = mentions.select("mention", "context").filter("mention is not null").distinct()
+    long = pairs.filter(F.length(F.trim("mention")) >= 2)
+    ruled = long.withColumn("rule", context_override("mention", "context", rules))
+    by_alias = alias_override(long, listed).select("mention", F.col("qid").alias("alias_qid"), "alias")
+    known = ruled.join(by_alias, "mention", "left")
+    open_ = known.filter("rule is null and alias_qid is null").select("mention", "context")
+    hits = search(open_, listed, limit).select("mention", "id", "label", F.col("rank").alias("ord"), F.lit("").alias("description"))
+    each = scored(with_mention_sets(open_).join(with_candidate_sets(hits), "mention"), breakdown=True)
+    best = each.groupBy("mention", "context").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "ord", F.col("id").alias("qid"), "score", "breakdown"))).alias("all"))
+    found = best.select(F.col("mention").alias("m"), F.col("context").alias("c"), F.transform("all", lambda c: F.struct(c["qid"].alias("qid"), c["score"].alias("score"), c["breakdown"].alias("breakdown"))).cast(SCORES).alias("found"))
+    both = known.join(found, [F.col("mention") == F.col("m"), F.col("context").eqNullSafe(F.col("c"))], "left").drop("m", "c")
+    top = F.get("found", F.lit(0))
+    enough = F.when((top["score"] >= min_score) | (F.size("found") == 1), top["qid"])
+    text = lambda x: F.lit(x).cast("string")
+    empty = F.struct(text("").alias("label"), text("").alias("description"), F.lit(None).cast("boolean").alias("label_exact"), *[F.lit(None).cast("double").alias(c) for c in ("context_jaccard", "char_ngram_jaccard_3", "position_prior", "label_bonus")])
+    hit = F.when(F.col("rule").isNotNull(), F.struct(F.col("mention").alias("matched_key"), F.col("rule").alias("qid"), text("context_disambiguation").alias("source"))).when(F.col("alias_qid").isNotNull(), F.struct(F.col("alias").alias("matched_key"), F.col("alias_qid").alias("qid"), text("entity_map").alias("source")))
+    sure = F.coalesce("rule", "alias_qid")
+    rows = both.select(
+        "mention", "context", F.coalesce(sure, enough).alias("chosen_qid"), F.when(sure.isNotNull(), 1.0).otherwise(F.coalesce(top["score"], F.lit(0.0))).alias("chosen_score"), hit.cast(OVERRIDE).alias("override_hit"),
+        F.when(F.col("rule").isNotNull(), F.array(F.struct(F.col("rule").alias("qid"), F.lit(1.0).alias("score"), empty.alias("breakdown")))).otherwise(F.coalesce("found", F.array().cast(SCORES))).cast(SCORES).alias("candidate_scores"),
+    )
+    none = pairs.filter(F.length(F.trim("mention")) < 2).select("mention", "context", text(None).alias("chosen_qid"), F.lit(0.0).alias("chosen_score"), F.lit(None).cast(OVERRIDE).alias("override_hit"), F.array().cast(SCORES).alias("candidate_scores"))
+    return rows.unionByName(none)
+
+
 def neighbour_sets(claims: DataFrame, qids: DataFrame, props: list[str]) -> DataFrame:
     """qid, near: the targets of an entity's claims of the given properties. claims: subject, prop_id, target_qid."""
     wanted = claims.filter(F.col("prop_id").isin(props) & F.col("target_qid").isNotNull())

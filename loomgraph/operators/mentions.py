@@ -45,6 +45,54 @@ def gazetteer(sentences: DataFrame, keys: list[str], names: Iterable[str] = GAZE
     return sentences.select(*keys, F.posexplode(T.hits("sentence", listed)).alias("ord", "mention")).withColumn("ner_label", F.lit(label))
 
 
+#: Labels of listed entities by their kind; what is no person and no place counts as an organisation.
+KIND_LABELS = {"person": "PER", "location": "LOC"}
+#: Aliases are broadcast up to this number, and joined by shuffle beyond it.
+BROADCAST_ALIASES = 200_000
+
+
+def by_aliases(sentences: DataFrame, keys: list[str], listed: DataFrame) -> DataFrame:
+    """Mentions of listed aliases (alias in lower case, qid, kind): keys, ord, mention, ner_label, qid, char_start, char_end.
+    Aliases of other scripts than wide ones stand as whole words; an alias within a longer one at its place is left out.
+    Found by equality on pairs of characters, so no sentence meets all aliases."""
+    low = F.lower("sentence")
+    starts = F.when(F.length(low) >= 2, F.sequence(F.lit(1), F.length(low) - 1)).otherwise(F.array().cast("array<int>"))
+    rows = sentences.filter("sentence is not null").select(*keys, "sentence").distinct()
+    pairs = rows.select(*keys, "sentence", F.explode(starts).alias("at")).withColumn("head", F.substring(low, F.col("at"), F.lit(2)))
+    known = listed.filter(F.length("alias") >= 2).select("alias", "qid", "kind", F.substring("alias", 1, 2).alias("head"))
+    hint = F.broadcast if known.count() <= BROADCAST_ALIASES else (lambda d: d)
+    size = F.length("alias")
+    met = pairs.join(hint(known), "head").filter(F.substring(low, F.col("at"), size) == F.col("alias"))
+    word = "^[\\p{L}\\p{N}_]$"
+    wide = F.col("alias").rlike("[\\x{3040}-\\x{30ff}\\x{4e00}-\\x{9fff}]")
+    free = ~F.when(F.col("at") > 1, F.substring("sentence", F.col("at") - 1, F.lit(1))).otherwise("").rlike(word) & ~F.substring("sentence", F.col("at") + size, F.lit(1)).rlike(word)
+    label = F.lit("ORG")
+    for kind, lab in KIND_LABELS.items():
+        label = F.when(F.lower(F.trim(F.coalesce("kind", F.lit("")))) == kind, lab).otherwise(label)
+    spans = met.filter(wide | free).select(*keys, (F.col("at") - 1).alias("char_start"), (F.col("at") - 1 + size).alias("char_end"), F.substring("sentence", F.col("at"), size).alias("mention"), label.alias("ner_label"), "qid")
+    all_ = spans.groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct("char_start", "char_end", "mention", "ner_label", "qid"))).alias("all"))
+    inside = lambda m: F.exists("all", lambda o: (o["char_start"] <= m["char_start"]) & (o["char_end"] >= m["char_end"]) & (o["char_end"] - o["char_start"] > m["char_end"] - m["char_start"]))
+    return all_.select(*keys, F.posexplode(F.filter("all", lambda m: ~inside(m))).alias("ord", "m")).select(*keys, "ord", "m.mention", "m.ner_label", "m.qid", "m.char_start", "m.char_end")
+
+
+def drop_unlinked(rows: DataFrame, root: str = "seed_qid") -> DataFrame:
+    """Mentions without those of persons, organisations and places that are linked to nothing or to the root itself;
+    numbers and dates stay, as they are never linked. rows: ner_label, qid, and the column root."""
+    qid = F.coalesce("qid", F.lit(""))
+    return rows.filter(~F.col("ner_label").isin("PER", "ORG", "LOC") | (qid != "") & (qid != F.coalesce(root, F.lit(""))))
+
+
+def of_tagger(spans: DataFrame, sentences: DataFrame, group: list[str], root: str = "seed_qid") -> DataFrame:
+    """Spans of a tagger, which tells only their sentence's text: mentions of two characters or more, each entity, mention
+    and label once in a group; what isn't linked stays as a literal; the sentence's index is that of the first equal
+    sentence of the group, -1 where there is none. spans: group, ord, mention, ner_label, qid, evidence, root."""
+    qid = F.when(F.col("ner_label").isin("PER", "ORG", "LOC") & (F.coalesce("qid", F.lit("")) != F.coalesce(root, F.lit(""))), F.coalesce("qid", F.lit(""))).otherwise("")
+    rows = spans.withColumns({"mention": T.strip("mention"), "qid": qid, "said": T.strip("evidence")}).filter(F.length("mention") >= 2)
+    first = rows.groupBy(*group, "qid", F.lower("mention").alias("low"), "ner_label").agg(F.min(F.struct("ord", "mention", "said")).alias("f")).select(*group, "qid", "ner_label", "f.ord", "f.mention", "f.said")
+    places = sentences.groupBy(*group, T.strip("sentence").alias("said")).agg(F.min("sentence_idx").alias("sentence_idx"))
+    return first.join(places, [*group, "said"], "left").select(*group, "ord", "mention", "ner_label", "qid", F.coalesce("sentence_idx", F.lit(-1)).alias("sentence_idx"))
+
+
 Backend = Callable[[], Callable[[list[str]], list[list[tuple[str, str, int, int]]]]]
 
 

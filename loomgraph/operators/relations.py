@@ -45,6 +45,34 @@ def pattern_relations(matched: DataFrame, links: DataFrame, keys: list[str], roo
     return linked.groupBy(*keys, "qid", "predicate").agg(F.min(F.struct("ord", F.substring("slot", 1, 120).alias("object_mention"), "prop_id", "method")).alias("f")).select(*keys, "qid", "predicate", "f.object_mention", "f.prop_id", "f.method")
 
 
+def anchored(rows: DataFrame, anchors: tuple[str, ...]) -> DataFrame:
+    """The rows whose sentence has one of the anchors."""
+    return rows.filter(F.size(T.hits("sentence", F.array(*[F.lit(a) for a in anchors]))) > 0) if anchors else rows.limit(0)
+
+
+def of_group(rows: DataFrame, links, group: list[str], zh=ZH_TEMPLATES, en=EN_TEMPLATES, min_zh: float = 0.12) -> DataFrame:
+    """Relations of the sentences of each group (such as a source and a seed): the group's whole text decides on one
+    language, whose templates are tried; of equal entity, predicate and mention (its first 40 characters) in a group the
+    first one stays. rows: group, sentence_idx, sentence, root. links: a function from mentions to (mention, qid)."""
+    han = F.regexp_count("sentence", F.lit("[\\x{4e00}-\\x{9fff}]"))
+    kept = rows.filter(F.trim(F.coalesce("sentence", F.lit(""))) != "").select(*group, "sentence_idx", T.strip("sentence").alias("sentence"), "root")
+    share = kept.groupBy(*group).agg((F.sum(han) / F.greatest(F.sum(F.length("sentence")) + F.count("*") - 1, F.lit(1)) >= min_zh).alias("is_zh"))
+    told = kept.join(share, group)
+    keys = [*group, "sentence_idx"]
+    found = slots(told.filter("is_zh"), keys, zh).unionByName(slots(told.filter("not is_zh"), keys, en))
+    linked = found.join(links(found.select(F.col("slot").alias("mention"))).select(F.col("mention").alias("slot"), "qid"), "slot").join(kept.select(*keys, "root").distinct(), keys)
+    linked = linked.filter((F.coalesce("qid", F.lit("")) != "") & (F.col("qid") != F.coalesce("root", F.lit("")))).withColumn("short", F.substring("slot", 1, 40))
+    first = linked.groupBy(*group, "qid", "predicate", "short").agg(F.min(F.struct("sentence_idx", "ord", "slot", "prop_id", "method", "root")).alias("f"))
+    return first.select(*group, "f.sentence_idx", "qid", "predicate", F.substring("f.slot", 1, 120).alias("object_mention"), "f.prop_id", "f.method", "f.root")
+
+
+def edge_rows(relations: DataFrame) -> DataFrame:
+    """Relations as contributions of edges, for a run that takes them into the graph (off by default): rows for graph.edges.
+    relations: root, qid, prop_id, predicate, method, sentence, source_label, source_url, citation_key."""
+    snippet = F.concat(F.lit("["), F.coalesce("source_label", F.lit("")), F.lit("] "), F.substring("sentence", 1, 280), F.lit(" | link=1.00 method="), "method")
+    return relations.select(F.col("root").alias("start_id"), F.col("qid").alias("end_id"), "prop_id", "predicate", F.lit("pattern_relation_extraction").alias("provenance"), "citation_key", snippet.alias("snippet"), "source_url")
+
+
 def triples(rows: DataFrame) -> DataFrame:
     """The eighteen columns of a triple, all of them text. rows: subject_qid, seed_id, seed_qid, sentence_idx, relevance,
     reasons, sentence, predicate, prop_id, mention, qid, ner_label, score, citation_key, source_url, source_label, method."""

@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
+#: Sources are broadcast up to this number, and joined by shuffle beyond it.
+BROADCAST_SOURCES = 1_000_000
+
+
 @dataclass(frozen=True)
 class Seed:
     seed_id: str
@@ -50,9 +54,14 @@ def hits(sentences: DataFrame, seeds: list[Seed], how: Routing = Routing()) -> D
         )
         for i, s in enumerate(seeds)
     ])
-    once = sentences.filter(F.col(source).isNotNull() & F.col(idx).isNotNull()).groupBy(source, idx).agg(F.min("sentence").alias("sentence"))
+    # of rows with one key the least text counts; what stands in the texts is told before they meet, so no text is shuffled
+    rows = sentences.filter(F.col(source).isNotNull() & F.col(idx).isNotNull())
     found = F.filter(per_seed, lambda s: (F.size(s["anchor_hits"]) > 0) | (F.size(s["trigger_hits"]) > 0))
-    return once.select(source, idx, F.explode(found).alias("s")).select(source, idx, "s.*")
+    several = rows.groupBy(source, idx).agg(F.countDistinct(F.xxhash64("sentence")).alias("texts")).filter("texts > 1").drop("texts")
+    told = rows.select(source, idx, "sentence", found.alias("found"))
+    alone = told.filter(F.size("found") > 0).select(source, idx, "found").distinct().join(several, [source, idx], "left_anti")
+    least = told.join(several, [source, idx], "left_semi").groupBy(source, idx).agg(F.min_by("found", "sentence").alias("found"))
+    return alone.unionByName(least).select(source, idx, F.explode("found").alias("s")).select(source, idx, "s.*")
 
 
 def scores(sentences: DataFrame, seeds: list[Seed], how: Routing = Routing()) -> DataFrame:
@@ -81,7 +90,8 @@ def top_seeds(scored: DataFrame, how: Routing = Routing()) -> DataFrame:
 def fallback(sentences: DataFrame, assigned: DataFrame, seed: Seed, how: Routing = Routing(), score: float | None = None) -> DataFrame:
     """All sentences of sources without any assignment go to one seed: (source, idx, seed_id, score)."""
     source, idx = how.keys
-    rest = sentences.select(source, idx).distinct().join(assigned.select(source).distinct(), source, "left_anti")
+    taken = assigned.select(source).distinct()
+    rest = sentences.select(source, idx).distinct().join(F.broadcast(taken) if taken.count() <= BROADCAST_SOURCES else taken, source, "left_anti")
     return rest.select(source, idx, F.lit(seed.seed_id).alias("seed_id"), F.lit(seed.qid).alias("seed_qid"), F.lit(score).cast("double").alias("score"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import TYPE_LABELS
 from ..operators.routing import Seed
 
 #: The seeds of a history of computing.
@@ -22,8 +23,10 @@ WORLD = [
 PERSON_SEED, CONCEPT_SEED = "seed_person", "seed_machine"
 #: First identifiers of the tables that stand for entities.
 REGION, NATION, CUSTOMER, SUPPLIER, PART, ORDER = (k * 100_000_000 for k in range(1, 7))
-#: Labels of the entities' types in that table graph.
-KB_TYPES = {"Person": "Q11", "Organization": "Q12", "Location": "Q13 Q14", "Country": "Q13", "Concept": "Q15", "Machine": "Q15", "Work": "Q16", "Report": "Q16"}
+#: Types of the tables' rows: persons, companies, countries, continents-like places, reports; parts take all known types in
+#: turn, and one that isn't known.
+TYPE_OF = {"customer": "Q5", "supplier": "Q1194970", "nation": "Q6256", "region": "Q82794", "orders": "Q10870555"}
+PART_TYPES = [*sorted({q for qs in TYPE_LABELS.values() for q in qs}), "Q999999999"]
 
 
 def _q(base: int, column: str):
@@ -46,10 +49,13 @@ def claims(spark: SparkSession, folder: str) -> DataFrame:
         item(orders, _q(ORDER, "o_orderkey"), "P710", _q(CUSTOMER, "o_custkey")),
         item(made, _q(PART, "l_partkey"), "P176", _q(SUPPLIER, "l_suppkey")),
     ]
-    for df, base, key, kind in ((customer, CUSTOMER, "c_custkey", "Q11"), (supplier, SUPPLIER, "s_suppkey", "Q12"), (nation, NATION, "n_nationkey", "Q13"), (region, REGION, "r_regionkey", "Q14"), (part, PART, "p_partkey", "Q15"), (orders, ORDER, "o_orderkey", "Q16")):
-        parts.append(item(df, _q(base, key), "P31", F.lit(kind)))
+    kind = {name: F.lit(q) for name, q in TYPE_OF.items()}
+    kind["part"] = F.element_at(F.array(*[F.lit(q) for q in PART_TYPES]), (F.pmod("p_partkey", F.lit(len(PART_TYPES))) + 1).cast("int"))
+    for name, df, base, key in (("customer", customer, CUSTOMER, "c_custkey"), ("supplier", supplier, SUPPLIER, "s_suppkey"), ("nation", nation, NATION, "n_nationkey"), ("region", region, REGION, "r_regionkey"), ("part", part, PART, "p_partkey"), ("orders", orders, ORDER, "o_orderkey")):
+        parts.append(item(df, _q(base, key), "P31", kind[name]))
     dates = orders.select(_q(ORDER, "o_orderkey").alias("subject"), F.lit("P571").alias("prop_id"), F.lit("value").alias("snaktype"), F.lit("time").alias("value_type"), F.lit(None).cast("string").alias("target_qid"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("literal"))
-    out = dates
+    births = customer.select(_q(CUSTOMER, "c_custkey").alias("subject"), F.lit("P569").alias("prop_id"), F.lit("value").alias("snaktype"), F.lit("time").alias("value_type"), F.lit(None).cast("string").alias("target_qid"), F.concat(F.lit("19"), F.lpad((F.col("c_custkey") % 100).cast("string"), 2, "0")).alias("literal"))
+    out = dates.unionByName(births)
     for p in parts:
         out = out.unionByName(p)
     return out
@@ -62,10 +68,11 @@ CLAIMS_SQL = f"""claims as (
  union all select 'Q'||({NATION}+n_nationkey),'P361','value','wikibase-entityid','Q'||({REGION}+n_regionkey),null from nation
  union all select 'Q'||({ORDER}+o_orderkey),'P710','value','wikibase-entityid','Q'||({CUSTOMER}+o_custkey),null from orders
  union all select distinct 'Q'||({PART}+l_partkey),'P176','value','wikibase-entityid','Q'||({SUPPLIER}+l_suppkey),null::varchar from lineitem
- union all select 'Q'||({CUSTOMER}+c_custkey),'P31','value','wikibase-entityid','Q11',null from customer
- union all select 'Q'||({SUPPLIER}+s_suppkey),'P31','value','wikibase-entityid','Q12',null from supplier
- union all select 'Q'||({NATION}+n_nationkey),'P31','value','wikibase-entityid','Q13',null from nation
- union all select 'Q'||({REGION}+r_regionkey),'P31','value','wikibase-entityid','Q14',null from region
- union all select 'Q'||({PART}+p_partkey),'P31','value','wikibase-entityid','Q15',null from part
- union all select 'Q'||({ORDER}+o_orderkey),'P31','value','wikibase-entityid','Q16',null from orders
- union all select 'Q'||({ORDER}+o_orderkey),'P571','value','time',null,strftime(o_orderdate,'%Y-%m-%d') from orders)"""
+ union all select 'Q'||({CUSTOMER}+c_custkey),'P31','value','wikibase-entityid','{TYPE_OF["customer"]}',null from customer
+ union all select 'Q'||({SUPPLIER}+s_suppkey),'P31','value','wikibase-entityid','{TYPE_OF["supplier"]}',null from supplier
+ union all select 'Q'||({NATION}+n_nationkey),'P31','value','wikibase-entityid','{TYPE_OF["nation"]}',null from nation
+ union all select 'Q'||({REGION}+r_regionkey),'P31','value','wikibase-entityid','{TYPE_OF["region"]}',null from region
+ union all select 'Q'||({PART}+p_partkey),'P31','value','wikibase-entityid',[{','.join(repr(q) for q in PART_TYPES)}][p_partkey%{len(PART_TYPES)}+1],null from part
+ union all select 'Q'||({ORDER}+o_orderkey),'P31','value','wikibase-entityid','{TYPE_OF["orders"]}',null from orders
+ union all select 'Q'||({ORDER}+o_orderkey),'P571','value','time',null,strftime(o_orderdate,'%Y-%m-%d') from orders
+ union all select 'Q'||({CUSTOMER}+c_custkey),'P569','value','time',null,'19'||lpad((c_custkey%100)::varchar,2,'0') from customer)"""

@@ -147,15 +147,15 @@ def _(r):
     return r.filter("scores.total_score is not null").select("row_id", T.score_text("scores.total_score").alias("score"))
 
 
-_PAGE = "'<html><script>var a = 1;</script><body><p>'||title||'</p><div>'||text||' &amp; more</div></body></html>'"
+_PAGE = "'<html><script>var a = 1;</script><body><p>'||coalesce(title,'')||'</p><div>'||text||' &amp; more</div></body></html>'"
 
 
 @query("html_strip", "documents", sql=f"""select doc_id, regexp_replace(regexp_replace(regexp_replace(t,'[ \\t\\f\\x0b\\x{{a0}}]+',' ','g'),' ?\\n[ \\n]*',chr(10),'g'),'^{SP}+|{SP}+$','','g') as visible from (
  select doc_id, replace(regexp_replace(regexp_replace(regexp_replace({_PAGE},'(?is)<script[^>]*>.*?</script\\s*>',' ','g'),'(?i)<(br|/p|/div|/li|/h[1-6]|/tr)[^>]*>',chr(10),'g'),'(?s)<[^>]+>',' ','g'),'&amp;','&') t
- from documents where title is not null and text is not null)""")
+ from documents where text is not null)""")
 def _(d):
-    html = F.concat(F.lit("<html><script>var a = 1;</script><body><p>"), "title", F.lit("</p><div>"), "text", F.lit(" &amp; more</div></body></html>"))
-    return d.filter("title is not null and text is not null").select("doc_id", T.strip_html(html).alias("visible"))
+    html = F.concat(F.lit("<html><script>var a = 1;</script><body><p>"), F.coalesce("title", F.lit("")), F.lit("</p><div>"), "text", F.lit(" &amp; more</div></body></html>"))
+    return d.filter("text is not null").select("doc_id", T.strip_html(html).alias("visible"))
 
 
 # --- routing ------------------------------------------------------------------------------------------------------------
@@ -264,10 +264,10 @@ def _(s, r):
     return tagged.select(*keys, F.array_join("tags", " ").alias("tags"))
 
 
-@query("char_features", "eval_items", sql=f"""with c as (select item_id, unnest(l) c, generate_subscripts(l,1)-1 i, len(l) n, l from (select item_id, list_filter(string_split(regexp_replace(item_text,'{SP}+','','g'),''),lambda x: x<>'') l from eval_items))
- select item_id, i::int as pos, c, case when regexp_matches(c,'^[0-9]$') then 'D' when regexp_matches(c,'^[A-Za-z]$') then 'A' when regexp_matches(c,'^[\\x{{4e00}}-\\x{{9fff}}]$') then 'H' else 'P' end as shape, case when i=0 then 'BOS' else l[i] end as before, case when i=n-1 then 'EOS' else l[i+2] end as after from c""")
-def _(e):
-    return mentions.char_features(e.withColumnRenamed("item_text", "sentence"), ["item_id"]).select("item_id", "pos", "c", "shape", "before", "after")
+@query("char_features", "sentences", sql=f"""with c as (select row_id, unnest(l) c, generate_subscripts(l,1)-1 i, len(l) n, l from (select row_id, list_filter(string_split(regexp_replace(sentence,'{SP}+','','g'),''),lambda x: x<>'') l from sentences where sentence is not null))
+ select row_id, i::int as pos, c, case when regexp_matches(c,'^[0-9]$') then 'D' when regexp_matches(c,'^[A-Za-z]$') then 'A' when regexp_matches(c,'^[\\x{{4e00}}-\\x{{9fff}}]$') then 'H' else 'P' end as shape, case when i=0 then 'BOS' else l[i] end as before, case when i=n-1 then 'EOS' else l[i+2] end as after, case when i=0 then 'BOS' else l[i] end||c as pair_before, c||case when i=n-1 then 'EOS' else l[i+2] end as pair_after from c""")
+def _(s):
+    return mentions.char_features(s.filter("sentence is not null"), ["row_id"])
 
 
 # --- linking ------------------------------------------------------------------------------------------------------------
@@ -286,16 +286,29 @@ def _(e):
     return linking.kinds(e)
 
 
-@query("context_override", "documents", sql="select doc_id, case when regexp_matches(text,'(?i)\\bmark\\s+ii\\b') then 'Q1' when regexp_matches(text,'机') then 'Q2' end as qid from documents where text is not null")
-def _(d):
-    rules = (("selrusø", r"(?i)\bmark\s+ii\b", "Q1"), ("selrusø", "机", "Q2"))
-    return d.filter("text is not null").select("doc_id", linking.context_override(F.lit("Selrusø"), "text", rules).alias("qid"))
+_NAMED = "select row_id, replace(replace(sentence,'Selrusø','Turing'),'塞尔鲁瑟','图灵') context from sentences where sentence is not null"
+_WORKED_CONTEXTS = [(-1, "a universal Turing machine"), (-2, "the Turing Award of 1966"), (-3, "Alan M. Turing, of Lyvagra"), (-4, "图灵机"), (-5, "probabilistic turing machines"), (-6, "Turing (1912)"), (-7, "")]
+
+
+def _rule_sql(rules) -> str:
+    return "case " + " ".join(f"when lower(trim(mention))='{m}' and regexp_matches(context,'{rx}') then '{q}'" for m, rx, q in rules) + " end"
+
+
+@query("context_override", "sentences", sql=f"""with t as ({_NAMED} union all values {','.join(f"({i},'{c}')" for i, c in _WORKED_CONTEXTS)}), m as (select row_id, context, case when contains(context,'图灵') and row_id>0 or context like '图%' then '图灵' else ' Turing ' end mention from t)
+ select row_id, {_rule_sql(linking.CONTEXT_RULES)} as qid from m""")
+def _(s):
+    named = s.filter("sentence is not null").select("row_id", F.replace(F.replace("sentence", F.lit("Selrusø"), F.lit("Turing")), F.lit("塞尔鲁瑟"), F.lit("图灵")).alias("context"))
+    rows = named.unionByName(s.sparkSession.createDataFrame(_WORKED_CONTEXTS, "row_id bigint, context string"))
+    wide = F.contains("context", F.lit("图灵")) & (F.col("row_id") > 0) | F.col("context").startswith("图")
+    return rows.withColumn("mention", F.when(wide, "图灵").otherwise(" Turing ")).select("row_id", linking.context_override("mention", "context").alias("qid"))
 
 
-# The search table: entries that share their first two characters, by alias.
-_SEARCH = f"""{_ALIASES}, ix as (select substr(alias,1,2) head, qid id, alias label, row_number() over (partition by substr(alias,1,2) order by alias, qid)-1 rank from al where length(alias)>=2),
- mm as (select distinct mention, evidence_sentence context from (select object_mention mention, evidence_sentence from triples_extracted) where coalesce(mention,'')<>'' and length(mention)>=2),
- cd as (select mention, context, id, label, rank ord, '' description from mm join ix on lower(substr(mention,1,2))=head where rank<10)"""
+# The search table: for each mention the entities whose aliases begin as it does, the ten that fit it best.
+_SEARCH = f"""{_ALIASES}, mm as (select distinct mention, evidence_sentence context from (select object_mention mention, evidence_sentence from triples_extracted) where length(mention)>=2),
+ mk as (select distinct mention, lower(trim(mention,' ')) low, {_grams('mention')} mg from mm), ax as (select qid, alias, {_grams('alias')} lg from al where length(alias)>=2),
+ ft as (select mention, qid id, alias label, case when alias=low then 0 when contains(alias,low) then 1 else 2 end fit, -({_jac('mg','lg')}) minus from mk join ax on lower(substr(mention,1,2))=substr(alias,1,2)),
+ be as (select * from (select *, row_number() over (partition by mention, id order by fit, minus, label) o from ft) where o=1), ix as (select *, row_number() over (partition by mention order by fit, minus, label, id)-1 rank from be),
+ cd as (select mm.mention, context, id, label, rank ord, '' description from mm join ix on ix.mention=mm.mention where rank<10)"""
 
 
 def _search(t: DataFrame, e: DataFrame) -> DataFrame:
@@ -416,10 +429,21 @@ def _triggers_sql(event: str) -> str:
     return f"case when en then {_case(_T[event]['en'])} else {_case(_T[event]['zh'])} end"
 
 
-@query("award_events", "sentences", "resolved", "entity_map", sql=f"with {_LINKED}, t as (select *, {_triggers_sql('AwardEvent')} as trigger from b) select source_id, seed_id, sentence_idx, trigger, unnest(pers[1:2]).q as recipient, seed_qid as award, yr as year from t where trigger is not null")
+#: Lists of winners, which the tables' sentences don't have: linked names, one in other case, and two that aren't linked.
+_LISTS = [("list", "seed_award", "Q910017729", 1, "The prize was won by Ganwyn Selrusø (in 1950), Ekly Nobody (in 1951).", "Ekly Zuwynbri"), ("list", "seed_award", "Q910017729", 2, "Awarded to ganwyn lyvagra (in 1960).", "Someone"), ("list", "seed_award", "Q910017729", 3, "It was won by Nobody Known (in 1970).", "Other One")]
+_LIST_NAMES = [("Ganwyn Selrus", "Q910000803"), ("ganwyn lyvagra", "Q77")]
+_LISTED_SQL = f"{_LINKED}, bb as (select source_id, seed_id, seed_qid, sentence_idx, sentence, en, pers, yr from b union all select s, i, q, x, t, true, [{{'q':'Q1','m':p,'n':'PER'}}], regexp_extract(t,'((?:19|20)[0-9]{{2}})',1) from (values {','.join(str(r) for r in _LISTS)}) v(s,i,q,x,t,p))"
+
+
+@query("award_events", "sentences", "resolved", "entity_map", sql=f"""with {_LISTED_SQL}, nm(name,qid) as (values {','.join(str(n) for n in _LIST_NAMES)}), t as (select *, {_triggers_sql('AwardEvent')} as trigger from bb),
+ p as (select t.*, unnest(regexp_extract_all(sentence,'{events.LISTED.replace("'", "''")}',1)) name, unnest(regexp_extract_all(sentence,'{events.LISTED.replace("'", "''")}',2)) py from t where trigger is not null), st as (select p.*, nm.qid from p join nm on nm.name=trim(p.name))
+ select source_id, seed_id, sentence_idx, trigger, qid as recipient, seed_qid as award, py as year from st union all select source_id, seed_id, sentence_idx, trigger, unnest(pers[1:2]).q, seed_qid, yr from t where trigger is not null and not exists (select 1 from st where st.source_id=t.source_id and st.seed_id=t.seed_id and st.seed_qid=t.seed_qid and st.sentence_idx=t.sentence_idx)""")
 def _(s, r, e):
     arg = lambda role, field: F.coalesce(F.get(F.filter("args", lambda a: a["role"] == role), F.lit(0))[field], F.lit(""))
-    found = events.award_events(pipeline.linked_sentences(r, s), pipeline.names(e))
+    spark = s.sparkSession
+    lists = spark.createDataFrame([(*x[:5], [("Q1", x[5], "PER")]) for x in _LISTS], "source_id string, seed_id string, seed_qid string, sentence_idx int, sentence string, linked array<struct<qid:string,mention:string,ner_label:string>>")
+    names = spark.createDataFrame(_LIST_NAMES, "mention string, qid string")
+    found = events.award_events(pipeline.linked_sentences(r, s).unionByName(lists), names)
     return found.select("source_id", "seed_id", "sentence_idx", "trigger", arg("Recipient", "qid").alias("recipient"), arg("Award", "qid").alias("award"), arg("Time", "mention").alias("year"))
 
 
@@ -437,15 +461,15 @@ def _(s, r, e):
 
 
 # Events of the stream table stand for found ones where SQL shall check keys, counts and edges.
-_EV = """ev as (select event_id, case event_type when 'click' then 'AwardEvent' when 'view' then 'EmploymentEvent' else 'PublicationEvent' end event_type, 'Q'||user_id k1, 'Q'||(500000+event_id%97) k2, case when event_id%5=0 then '' else '20'||lpad((event_id%30)::varchar,2,'0') end k3 from events where event_type in ('click','view','purchase')),
+_EV = """ev as (select event_id, case event_type when 'click' then 'AwardEvent' when 'view' then 'EmploymentEvent' when 'signup' then 'EducationEvent' else 'PublicationEvent' end event_type, 'Q'||user_id k1, 'Q'||(500000+event_id%97) k2, case when event_id%5=0 then '' else '20'||lpad((event_id%30)::varchar,2,'0') end k3 from events),
  ck as (select *, 'EVT_CAN_'||substr(sha1(concat_ws('|',event_type,k1,k2,k3)),1,12) can_id from ev)"""
 
 
 def _stream_events(df: DataFrame) -> DataFrame:
-    kind = F.when(F.col("event_type") == "click", "AwardEvent").when(F.col("event_type") == "view", "EmploymentEvent").otherwise("PublicationEvent")
-    rows = df.filter(F.col("event_type").isin("click", "view", "purchase")).withColumn("event_type", kind)
+    kind = F.when(F.col("event_type") == "click", "AwardEvent").when(F.col("event_type") == "view", "EmploymentEvent").when(F.col("event_type") == "signup", "EducationEvent").otherwise("PublicationEvent")
+    rows = df.withColumn("event_type", kind)
     first = F.when(F.col("event_type") == "AwardEvent", "Recipient").otherwise("Person")
-    second = F.when(F.col("event_type") == "AwardEvent", "Award").when(F.col("event_type") == "EmploymentEvent", "Organization").otherwise("WorkOrConcept")
+    second = F.when(F.col("event_type") == "AwardEvent", "Award").when(F.col("event_type").isin("EmploymentEvent", "EducationEvent"), "Organization").otherwise("WorkOrConcept")
     year = F.when(F.col("event_id") % 5 == 0, "").otherwise(F.concat(F.lit("20"), F.lpad((F.col("event_id") % 30).cast("string"), 2, "0")))
     none = F.lit("")
     args = F.array(
@@ -456,9 +480,10 @@ def _stream_events(df: DataFrame) -> DataFrame:
     return rows.select(F.col("event_id").cast("string").alias("event_id"), "event_type", F.lit("events").alias("source_id"), F.col("event_id").alias("sentence_idx"), F.lit("t").alias("trigger"), args.alias("args"))
 
 
-@query("event_canonical", "events", sql=f"with {_EV} select can_id, event_type, count(*) as evidence_count from ck group by 1,2")
+@query("event_canonical", "events", sql=f"with {_EV} select can_id, event_type, count(*) as evidence_count, 't' as name, string_agg(event_id::varchar,',' order by event_id) filter (n<=10) as evidence, any_value(case when event_type='AwardEvent' then 'Award|'||k2||'|,Recipient|'||k1||'|' when event_type='PublicationEvent' then 'Person|'||k1||'|,'||case when k3<>'' then 'Time||'||k3||',' else '' end||'WorkOrConcept|'||k2||'|' else 'Organization|'||k2||'|,Person|'||k1||'|' end||case when k3<>'' and event_type<>'PublicationEvent' then ',Time||'||k3 else '' end) as args from (select *, row_number() over (partition by can_id order by event_id) n from ck) group by 1,2")
 def _(e):
-    return events.canonical(_stream_events(e)).select("can_id", "event_type", "evidence_count")
+    rows = events.canonical(_stream_events(e))
+    return rows.select("can_id", "event_type", "evidence_count", "name", F.array_join(F.transform("evidence", lambda x: x["event_id"]), ",").alias("evidence"), F.array_join(F.filter("args", lambda a: a != "Time||"), ",").alias("args"))
 
 
 @query("event_edges", "events", sql=f"with {_EV} select distinct can_id as start_id, k1 as end_id from ck union select distinct can_id, k2 from ck union select distinct can_id, 'LIT_'||substr(sha1('literal|'||k3),1,12) from ck where k3<>''")
@@ -469,9 +494,9 @@ def _(e):
 # --- graph --------------------------------------------------------------------------------------------------------------
 
 
-@kb_query("kb_item_edges", sql="x as (select subject, prop_id, target_qid from claims where prop_id like 'P%' and value_type='wikibase-entityid' and target_qid like 'Q%') select prop_id, count(*) as edges, count(distinct subject) as subjects, count(distinct target_qid) as targets from x group by 1")
+@kb_query("kb_item_edges", sql="x as (select subject, prop_id, target_qid from claims where prop_id like 'P%' and value_type='wikibase-entityid' and target_qid like 'Q%') select * from x")
 def _(c):
-    return graph.item_edges(c).groupBy("prop_id").agg(F.count("*").alias("edges"), F.countDistinct("subject").alias("subjects"), F.countDistinct("target_qid").alias("targets"))
+    return graph.item_edges(c)
 
 
 @kb_query("kb_literals", sql="x as (select 1) select subject, prop_id, literal from claims where value_type<>'wikibase-entityid' and coalesce(literal,'')<>''")
@@ -485,12 +510,17 @@ def _(c):
     return graph.neighbourhood(c, c.sparkSession.createDataFrame([(f"Q{config.NATION + 1}",)], "id string"))
 
 
-_TYPES = f"tl(q,label) as (values {','.join(f'({q!r},{label!r})' for label, qs in config.KB_TYPES.items() for q in qs.split())}), pl(label,parent) as (values {','.join(f'({c!r},{p!r})' for p, cs in graph.PARENTS.items() for c in cs.split())}), ty as (select distinct subject id, target_qid q from claims where prop_id in ('P31','P279')), o as (select id, label from ty join tl using (q)), lb as (select id, array_to_string(list_sort(list(distinct label)),',') labels from (select * from o union all select id, parent from o join pl using (label) union all select id, 'Concept' from ty where id not in (select id from o)) group by 1)"
+_TYPES = f"tl(q,label) as (values {','.join(f'({q!r},{label!r})' for label, qs in graph.TYPE_LABELS.items() for q in qs)}), pl(label,parent) as (values {','.join(f'({c!r},{p!r})' for p, cs in graph.PARENTS.items() for c in cs)}), ty as (select distinct subject id, target_qid q from claims where prop_id in ('P31','P279')), o as (select id, label from ty join tl using (q)), lb as (select id, array_to_string(list_sort(list(distinct label)),',') labels from (select * from o union all select id, parent from o join pl using (label) union all select id, 'Concept' from ty where id not in (select id from o)) group by 1)"
 
 
-@kb_query("type_labels", sql=f"{_TYPES} select labels, count(*) as entities from lb group by 1")
+@kb_query("type_labels", sql=f"{_TYPES} select id, labels from lb")
 def _(c):
-    return graph.labels_of_types(c, config.KB_TYPES).groupBy(F.array_join("labels", ",").alias("labels")).agg(F.count("*").alias("entities"))
+    return graph.labels_of_types(c).select("id", F.array_join("labels", ",").alias("labels"))
+
+
+@kb_query("coarse_kinds", sql=f"{_TYPES} select id, case when regexp_matches(labels,'(^|,)Person(,|$)') then 'Person' when regexp_matches(labels,'(^|,)Award(,|$)') then 'Award' when regexp_matches(labels,'(^|,)Organization(,|$)') then 'Organization' when regexp_matches(labels,'(^|,)Location(,|$)') then 'Location' else 'Concept' end as kind from lb")
+def _(c):
+    return graph.labels_of_types(c).select("id", graph.coarse_kind("labels").alias("kind"))
 
 
 @kb_query("kind_enrich", sql=f"{_TYPES}, nd as (select distinct target_qid id from claims where target_qid is not null and prop_id<>'P31') select id, case when substr(id,2)::bigint%2=0 then 'Person' else coalesce(labels,'') end as labels from nd left join lb using (id)")
@@ -498,7 +528,7 @@ def _(c):
     ids = graph.item_edges(c).filter("prop_id <> 'P31'").select(F.col("target_qid").alias("id")).distinct()
     even = F.substring("id", 2, 20).cast("bigint") % 2 == 0
     nodes = ids.withColumn("labels", F.when(even, F.array(F.lit("Person"))).otherwise(F.array().cast("array<string>")))
-    return graph.enrich_kinds(nodes, graph.labels_of_types(c, config.KB_TYPES)).select("id", F.array_join("labels", ",").alias("labels"))
+    return graph.enrich_kinds(nodes, graph.labels_of_types(c)).select("id", F.array_join("labels", ",").alias("labels"))
 
 
 @kb_query("incoming_topk", sql=f"""f(target_qid,most) as (values ('Q{config.NATION + 1}',50),('Q{config.NATION + 2}',45)), i as (select distinct subject, prop_id, target_qid from claims where prop_id in ('P27','P17')),
@@ -546,16 +576,16 @@ def _(t, p):
 
 @query("graph_root_facts", "triples_extracted", "entity_map", sql=f"with {_EDGES}, {_ALIASES}, nm as (select qid, min(alias) name from al group by 1), e1 as (select edge_id, min(rel_type) rel_type, min(end_id) end_id from ed where layer='facts' and start_id='Q910000803' group by 1) select rel_type, end_id, name as end_name, edge_id from e1 join nm on qid=end_id order by rel_type, end_id, edge_id limit 100")
 def _(t, e):
-    nodes = linking.aliases(e).groupBy(F.col("qid").alias("id")).agg(F.min("alias").alias("name"))
-    own = _triple_edges(t).filter((F.col("layer") == "facts") & (F.col("start_id") == "Q910000803"))
-    return own.join(nodes.select(F.col("id").alias("end_id"), F.col("name").alias("end_name")), "end_id").orderBy("rel_type", "end_id", "edge_id").limit(100).select("rel_type", "end_id", "end_name", "edge_id")
+    return graph.root_facts(_triple_edges(t), _alias_nodes(e), "Q910000803").select("rel_type", "end_id", "end_name", "edge_id")
+
+
+def _alias_nodes(e: DataFrame) -> DataFrame:
+    return linking.aliases(e).groupBy(F.col("qid").alias("id")).agg(F.min("alias").alias("name"))
 
 
-@query("graph_find_nodes", "entity_map", sql=f"with {_ALIASES} select qid as id, min(alias) as name from al where qid in (select qid from al where contains(alias,'selrus')) group by 1 order by 1 limit 20")
+@query("graph_find_nodes", "entity_map", sql=f"with {_ALIASES}, nm as (select qid as id, min(alias) as name from al group by 1) select * from nm where id='Q910000803' or contains(lower(name),'lyv') order by id limit 20")
 def _(e):
-    nodes = linking.aliases(e).withColumnRenamed("alias", "name").withColumnRenamed("qid", "id")
-    hit = nodes.filter(F.contains("name", F.lit("selrus"))).select("id").distinct()
-    return graph.find_nodes(nodes.join(hit, "id", "left_semi").groupBy("id").agg(F.min("name").alias("name")).withColumn("key", F.concat(F.lit("selrus"), "name")).withColumnRenamed("name", "shown").withColumnRenamed("key", "name"), part="selrus").select("id", F.col("shown").alias("name"))
+    return graph.find_nodes(_alias_nodes(e), "Q910000803", "LYV")
 
 
 @query("graph_evidence_topk", "re_predictions", sql="select row_id, round(predicted_prob,6) as score from re_predictions order by predicted_prob desc, row_id limit 100")
@@ -660,30 +690,49 @@ def _(p, schema):
     return inference.in_space(p, schema.select(F.explode("subject_types").alias("seed_type"), "prop_id")).select("row_id")
 
 
-_NEED = {"Person": "P91004 P91006", "Location": "P91033 P91063", "Organization": "P91007 P91021"}
+#: The real properties stand for those of the tables, taken in turn; their aliases in part, beside worked sentences.
+_REAL = ["P19", "P20", "P27", "P551", "P17", "P276", "P69", "P108", "P1416", "P361", "P127", "P137", "P166", "P800", "P279", "P31", "P106"]
+_REAL_SQL = f"[{','.join(repr(p) for p in _REAL)}][try_cast(substr(predicted_label,2) as bigint)%{len(_REAL)}+1]"
+_REAL_ALIASES = {"P19": ["出生于", "生于"], "P27": ["国籍", "公民", "属于…国"], "P551": ["居住于", "生活在"], "P17": ["国家", "位于…国", "在…"], "P276": ["地点", "位于", "在…"], "P69": ["毕业于", "在…学习"], "P108": ["任职于", "在…工作", "加入"], "P1416": ["隶属于", "所属"], "P166": ["获得", "获", "被授予"], "P361": ["属于", "是…的一部分"], "P31": ["是", "属于"], "P127": ["由…拥有"]}
+_WORKED_TEXTS = [(-1, "P108", "他在大学学习并加入学会"), (-2, "P108", "他加入学会"), (-3, "P19", "他生于利瓦格拉"), (-4, "P27", "属于某某"), (-5, "P1416", "就读时隶属于学会"), (-6, "P69", "在利瓦格拉学习"), (-7, "P69", "学习在利瓦格拉"), (-8, "P137", "x"), (-9, "P20", "他走了"), (-10, "P31", "")]
+
+
+def _real(p: DataFrame) -> DataFrame:
+    prop = F.element_at(F.array(*[F.lit(x) for x in _REAL]), (F.pmod(F.substring("predicted_label", 2, 12).try_cast("bigint"), F.lit(len(_REAL))) + 1).cast("int"))
+    return p.filter("predicted_label <> 'NA'").withColumn("predicted_label", prop)
+
 
+_KIND_SQL = "k as (select qid id, upper(kind[1:1])||lower(kind[2:]) kind from (select regexp_replace(wikidata_id,'\\s+','','g') qid, arg_min(trim(kind),line_no) filter (coalesce(trim(kind),'')<>'') kind from entity_map where coalesce(trim(wikidata_id),'')<>'' group by 1))"
+_IN_RANGE = "case " + " ".join(f"when label in ({','.join(repr(p) for p in ps)}) then coalesce(kind,'')='{kind}'" for kind, ps in inference.RANGES.items()) + " else true end"
 
-@query("mil_range", "re_predictions", "entity_map", sql="""with k as (select qid id, upper(kind[1:1])||lower(kind[2:]) kind from (select regexp_replace(wikidata_id,'\\s+','','g') qid, arg_min(trim(kind),line_no) filter (coalesce(trim(kind),'')<>'') kind from entity_map where coalesce(trim(wikidata_id),'')<>'' group by 1))
- select row_id from re_predictions left join k on id=object_qid where case when predicted_label in ('P91004','P91006') then kind='Person' when predicted_label in ('P91033','P91063') then kind='Location' when predicted_label in ('P91007','P91021') then kind='Organization' else true end""")
+
+@query("mil_range", "re_predictions", "entity_map", sql=f"with {_KIND_SQL}, p as (select *, {_REAL_SQL} as label from re_predictions where predicted_label<>'NA') select row_id, label from p left join k on id=object_qid where {_IN_RANGE}")
 def _(p, e):
     labels = linking.kinds(e).select(F.col("qid").alias("id"), F.array(F.initcap("kind")).alias("labels"))
-    return inference.range_fits(p, labels, _NEED).select("row_id")
+    return inference.range_fits(_real(p), labels).select("row_id", F.col("predicted_label").alias("label"))
 
 
 def _likes() -> str:
-    study = "|".join(inference.STUDY_WORDS)
-    return f"coalesce(top_sentence,'')<>'' and (coalesce(len(aliases_zh),0)<=0 or len(list_filter(aliases_zh,lambda a: regexp_matches(top_sentence,'(?s)'||array_to_string(list_transform(list_filter(string_split(a,'…'),lambda p: p<>''),lambda p: regexp_escape(p)),'.*'))))>0) and not (predicted_label in ('P108','P1416') and regexp_matches(top_sentence,'{study}'))"
+    words = lambda ws: "|".join(ws)
+    places = ",".join(repr(p) for p in inference.PLACE_PROPS)
+    return f"coalesce(top_sentence,'')<>'' and (coalesce(len(aliases_zh),0)<=0 or len(list_filter(aliases_zh,lambda a: regexp_matches(top_sentence,'(?s)'||array_to_string(list_transform(list_filter(string_split(a,'…'),lambda p: p<>''),lambda p: regexp_escape(p)),'.*'))))>0) and not (predicted_label in ('P108','P1416') and regexp_matches(top_sentence,'{words(inference.STUDY_WORDS)}')) and (predicted_label not in ({places}) or regexp_matches(top_sentence,'{words(inference.PLACE_WORDS)}'))"
 
 
-@query("mil_text_gate", "re_predictions", "relation_schema", sql=f"select row_id from re_predictions left join relation_schema on prop_id=predicted_label where {_likes()}")
-def _(p, schema):
-    return inference.text_fits(p, schema).select("row_id")
+_ALIAS_VALUES = ",".join(f"('{p}',[{','.join(repr(a) for a in al)}])" for p, al in _REAL_ALIASES.items())
+
+
+@query("mil_text_gate", "re_predictions", sql=f"with sc(prop_id,aliases_zh) as (values {_ALIAS_VALUES}), p as (select row_id, {_REAL_SQL} as predicted_label, top_sentence from re_predictions where predicted_label<>'NA' union all values {','.join(str(w) for w in _WORKED_TEXTS)}) select row_id, predicted_label as label from p left join sc on prop_id=predicted_label where {_likes()}")
+def _(p):
+    spark = p.sparkSession
+    schema = spark.createDataFrame(list(_REAL_ALIASES.items()), "prop_id string, aliases_zh array<string>")
+    rows = _real(p).select("row_id", "predicted_label", "top_sentence").unionByName(spark.createDataFrame(_WORKED_TEXTS, "row_id bigint, predicted_label string, top_sentence string"))
+    return inference.text_fits(rows, schema).select("row_id", F.col("predicted_label").alias("label"))
 
 
-@query("mil_argmax", "re_predictions", sql="select subject_qid, object_qid, predicted_label as prop_id, round(max(predicted_prob),6) as score, arg_min(row_id,(-predicted_prob,row_id)) as best_row, count(*) as n, count(distinct top_sentence) as texts from re_predictions where predicted_label<>'NA' group by 1,2,3")
+@query("mil_argmax", "re_predictions", sql="select subject_qid, object_qid, predicted_label as prop_id, round(max(predicted_prob),6) as score, arg_min(row_id,(-predicted_prob,row_id)) as best_row, count(*) as n, count(distinct top_sentence) as texts, coalesce(array_to_string(list_sort(list(distinct top_sentence) filter (top_sentence is not null))[1:8],'¦'),'') as evidence from re_predictions where predicted_label<>'NA' group by 1,2,3")
 def _(p):
-    best = inference.best_of_each(p.filter("predicted_label <> 'NA'"), 1 << 30)
-    return best.select("subject_qid", "object_qid", "prop_id", F.round("score", 6).alias("score"), F.col("best.row_id").alias("best_row"), "n", F.size("evidence").cast("bigint").alias("texts"))
+    best = inference.best_of_each(p.filter("predicted_label <> 'NA'"))
+    return best.select("subject_qid", "object_qid", "prop_id", F.round("score", 6).alias("score"), F.col("best.row_id").alias("best_row"), "n", "texts", F.array_join("evidence", "¦").alias("evidence"))
 
 
 @query("mil_support", "re_predictions", "triples_extracted", sql=f"with {_FACTS}, st as (select distinct subject_qid, object_qid, predicted_label prop_id from re_predictions where predicted_label<>'NA') select st.*, (f.subject is not null)::int as is_supporting_fact from st left join facts f on f.subject=st.subject_qid and f.target_qid=st.object_qid and f.prop_id=st.prop_id")

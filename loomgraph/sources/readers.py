@@ -17,6 +17,8 @@ EXCERPT_SOURCES = (
     ("纽约时报", "nytcn_turing_morphogenesis_2018", "https://cn.nytimes.com/"),
     ("BBC", "bbc_cn_turing_banknote_2019", "https://www.bbc.com/zhongwen/simp"),
 )
+#: What the first line of the last of these sources holds besides, and words that its title line has by preference.
+BBC_ALSO, BBC_TITLE_WORDS = "中文", ("图灵", "英镑")
 #: Lines at which an excerpt begins.
 EXCERPT_STARTS = r"(?m)(?=^(?:https://\S+|三联生活周刊[^\n]*|Alan Turing\(|纽约时报中文网$|BBC news中文$))"
 
@@ -54,11 +56,14 @@ def excerpt_source(chunk) -> tuple[Column, Column, Column]:
     lines = F.filter(F.transform(F.split(F.col(chunk), "\n"), T.strip), lambda x: x != "")
     first = F.coalesce(F.get(lines, F.lit(0)), F.lit(""))
     cite, url, title = F.lit("user_excerpt"), F.lit(""), F.substring(first, 1, 120)
-    later = F.coalesce(F.get(F.filter(F.slice(lines, 2, 1000), lambda x: F.length(x) >= 10), F.lit(0)), first)
+    long = F.filter(F.slice(lines, F.lit(2), F.greatest(F.size(lines), F.lit(1))), lambda x: F.length(x) >= 10)
+    later = F.coalesce(F.get(long, F.lit(0)), first)
+    told = F.get(F.filter(long, lambda x: F.contains(x, F.lit(BBC_TITLE_WORDS[0])) | F.contains(x, F.lit(BBC_TITLE_WORDS[1]))), F.lit(0))
+    bbc = F.contains(first, F.lit("BBC")) & F.contains(first, F.lit(BBC_ALSO))
     for start, key, address in reversed(EXCERPT_SOURCES):
-        hit = first.startswith(start)
+        hit = bbc if start == "BBC" else first.startswith(start)
         cite, url = F.when(hit, key).otherwise(cite), F.when(hit, address).otherwise(url)
-    title = F.when(first.startswith("纽约时报") | first.startswith("BBC"), F.substring(later, 1, 120)).otherwise(title)
+    title = F.when(first.startswith("纽约时报"), F.substring(later, 1, 120)).when(bbc, F.substring(F.coalesce(told, later), 1, 120)).otherwise(title)
     web = first.startswith("http")
     cite, url = F.when(web, "zhihu_zhuanlan_turing_bio").otherwise(cite), F.when(web, F.substring_index(first, " ", 1)).otherwise(url)
     rest = F.trim(F.regexp_replace(first, r"^\S+\s*", ""))
@@ -87,16 +92,25 @@ def excerpts(raw: DataFrame) -> DataFrame:
 def volume_pages(spark: SparkSession, pattern: str, sources: DataFrame, extract: Callable[[bytes, int, int | None], str]) -> DataFrame:
     """Chunks of binary files: extract gives the text of a page range. sources: pdf_relative_path, cite_key, page_start,
     page_end, label, enabled."""
-    files = spark.read.format("binaryFile").load(pattern).select("path", "content")
-    on = sources.filter(F.coalesce("enabled", F.lit(True)))
-    both = files.join(F.broadcast(on), F.col("path").endswith(F.col("pdf_relative_path")))
-
-    @F.udf("string")
-    def text(content, a, b):
-        return extract(bytes(content), a, b)
-
+    # the relative path is a file's path from some folder on, so every tail of the path is a key
+    parts = F.split(F.regexp_replace("path", "^[a-z]+:/*", ""), "/")
+    tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+    names = spark.read.format("binaryFile").load(pattern).select("path")
+    on = sources.filter(F.coalesce("enabled", F.lit(True))).select(*[c for c in ("pdf_relative_path", "cite_key", "page_start", "page_end", "label") if c in sources.columns])
+    wanted = names.select("path", F.explode(tails).alias("pdf_relative_path")).join(on, "pdf_relative_path")
+    both = spark.read.format("binaryFile").load(pattern).select("path", "content").join(wanted, "path")
+    kept = ("pdf_relative_path", "cite_key", "page_start", "page_end", "label")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            texts = [extract(c, a, b) for c, a, b in zip(*(batch.column(n).to_pylist() for n in ("content", "page_start", "page_end")), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(texts, pa.string())], [*kept, "text"])
+
+    both = both.select(*kept, "content").mapInArrow(run, "pdf_relative_path string, cite_key string, page_start int, page_end int, label string, text string")
     name = F.concat(F.lit("file:"), "pdf_relative_path", F.lit("#pages="), F.coalesce(F.col("page_start").cast("string"), F.lit("")), F.lit("-"), F.coalesce(F.col("page_end").cast("string"), F.lit("")))
-    return both.select(F.lit(None).cast("int").alias("chunk_ord"), F.lit(None).cast("string").alias("lang"), F.col("label").alias("title"), F.lit("pdf").alias("provenance"), F.col("cite_key").alias("citation_key"), F.lit("").alias("source_url"), name.alias("source_id"), F.concat(F.lit("pdf:"), F.coalesce("label", F.lit(""))).alias("source_label"), text("content", "page_start", "page_end").alias("text"))
+    return both.select(F.lit(None).cast("int").alias("chunk_ord"), F.lit(None).cast("string").alias("lang"), F.col("label").alias("title"), F.lit("pdf").alias("provenance"), F.col("cite_key").alias("citation_key"), F.lit("").alias("source_url"), name.alias("source_id"), F.concat(F.lit("pdf:"), F.coalesce("label", F.lit(""))).alias("source_label"), "text")
 
 
 def collect(*parts: DataFrame) -> DataFrame:
@@ -153,7 +167,9 @@ def triples_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame
 
 def alias_csv(spark: SparkSession, path: str) -> DataFrame:
     """line_no, alias, wikidata_id, kind of an alias table, stripped."""
-    raw = _csv(spark, path).withColumn("line_no", F.monotonically_increasing_id())
+    raw = _csv(spark, path).select("*", F.col("_metadata.file_name").alias("_file"), F.monotonically_increasing_id().alias("_at"))
+    # one file after another; an alias table is small, as it is made by hand
+    raw = raw.withColumn("line_no", F.row_number().over(Window.orderBy("_file", "_at")).cast("bigint"))
     return raw.select("line_no", *[T.strip(c).alias(c) for c in ("alias", "wikidata_id", "kind")])
 
 
@@ -162,17 +178,52 @@ def bibliography(spark: SparkSession, path: str) -> DataFrame:
 
 
 def conll(spark: SparkSession, path: str) -> DataFrame:
-    """sent, pos, token, tag of a file with one token in a line and empty lines between sentences. Files are numbered by
-    Spark's own line order, one file at a time."""
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("line"), F.col("_metadata.file_name").alias("file"))
-    blank = F.trim("value") == ""
-    sent = F.sum(F.when(blank, 1).otherwise(0)).over(Window.partitionBy("file").orderBy("line"))
-    kept = lines.withColumn("sent", sent).filter(~blank)
+    """file, sent, pos, token, tag of files with one token in a line and empty lines between sentences. Lines are in order by
+    the split of the file that they stand in; empty lines are counted within splits and carried over, so no task gets a
+    whole file."""
+    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("line"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("part"))
+    blank = F.when(F.trim("value") == "", 1).otherwise(0)
+    within = F.sum(blank).over(Window.partitionBy("file", "part").orderBy("line"))
+    counts = lines.groupBy("file", "part").agg(F.sum(blank).alias("blanks"))
+    before = F.coalesce(F.sum("blanks").over(Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = counts.select("file", "part", before.alias("base"))
+    kept = lines.withColumn("within", within).filter(F.trim("value") != "").join(F.broadcast(base), ["file", "part"]).withColumn("sent", F.col("base") + F.col("within"))
     parts = F.split("value", "\t")
-    pos = F.row_number().over(Window.partitionBy("file", "sent").orderBy("line")) - 1
+    pos = F.row_number().over(Window.partitionBy("file", "sent").orderBy("part", "line")) - 1
     return kept.select("file", "sent", pos.alias("pos"), F.get(parts, F.lit(0)).alias("token"), F.coalesce(F.get(parts, F.lit(1)), F.lit("O")).alias("tag"))
 
 
+def seed_excerpts(pages_: DataFrame, seeds: list) -> DataFrame:
+    """Encyclopedia pages of the seeds: for each the page named by its first Chinese and by its first English anchor; names
+    without a page are skipped. pages_: lang, title, url, text."""
+    def first(s, zh: bool):
+        return next((a for a in s.anchors if any("\u4e00" <= c <= "\u9fff" for c in a) == zh), None)
+
+    wanted = [(i, lang, a) for i, s in enumerate(seeds) for lang, a in (("zh", first(s, True)), ("en", first(s, False))) if a]
+    names = pages_.sparkSession.createDataFrame(wanted, "seed_ord int, lang string, title string")
+    one = pages_.filter("text is not null").groupBy("lang", "title").agg(F.min(F.struct("url", "text")).alias("p"))
+    return names.join(one, ["lang", "title"]).select("seed_ord", "lang", "title", "p.url", "p.text")
+
+
+def prediction_files(spark: SparkSession, folder: str, schema) -> DataFrame:
+    """Predictions of a folder: the merged file where it is there and not empty, else those of all seed types together."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(f"{folder}/re_predictions.jsonl")
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if system.exists(place) and system.getContentSummary(place).getLength() > 0:
+        return jsonl(spark, f"{folder}/re_predictions.jsonl", schema)
+    if not system.globStatus(jvm.org.apache.hadoop.fs.Path(f"{folder}/re_predictions_pcnn_*.jsonl")):
+        return spark.createDataFrame([], schema)
+    return jsonl(spark, f"{folder}/re_predictions_pcnn_*.jsonl", schema)
+
+
+def query_results(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+    """Rows of graph query results in their JSON form: the text value of each name, null where it isn't bound."""
+    fields = ", ".join(f"`{n}`: struct<value: string>" for n in names)
+    raw = spark.read.option("multiLine", True).schema(f"results struct<bindings: array<struct<{fields}>>>").json(path)
+    return raw.select(F.explode("results.bindings").alias("b")).select(*[F.col(f"b.`{n}`.value").alias(n) for n in names])
+
+
 def pages(html: DataFrame, most: int = 250_000) -> DataFrame:
     """Visible text of fetched pages. html: url, html and what else there is."""
     return html.withColumn("text", F.substring(T.strip_html("html"), 1, most))
