@@ -148,6 +148,7 @@ def full(chunks: DataFrame, seeds: list, entity_map: DataFrame, claims: DataFram
     """The whole run: sentences, items of each seed, mentions, resolved mentions, triples, events, bags, and the graph of
     structured facts, events and predictions. Names of listed entities are found by their aliases; backend adds a model's.
     Every stage that others read is written as a table first, so each is worked out once."""
+    claims = written(claims, "claims")
     sentences = written(readers.sentence_rows(chunks), "sentences")
     rows = written(items(sentences, seeds, how), "items")
     found = written(recognised(rows, entity_map, backend), "mentions")
@@ -162,7 +163,7 @@ def graph_of(resolved: DataFrame, sentences: DataFrame, made: DataFrame, seeds:
     found_events = written(events.extract(linked_sentences(resolved, sentences), names(entity_map), person_seed, concept_seed), "events")
     canon = events.canonical(found_events)
     contributions, facts = graph.structured(claims, seeds)
-    facts = written(facts, "facts")
+    facts, contributions, canon = written(facts, "facts"), written(contributions, "contributions"), written(canon, "canonical")
     all_edges = facts.select(*EDGE).unionByName(event_edges(found_events))
     merged = fusion.merge(made.withColumn("row_id", F.xxhash64(*made.columns)))
     if predictions is not None and schema is not None:

@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from loomgraph.plans import registry
+from loomgraph.plans import registry, runs  # noqa: F401
 
 duckdb = pytest.importorskip("duckdb")
 
