@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .linking import alias_override
 
 #: Triggers by event and language, in the order in which they are tried.
 TRIGGERS = {
@@ -52,12 +53,13 @@ def _rows(df: DataFrame, event: Column | str, trig: Column, args: Column, method
 
 def award_events(df: DataFrame, names: DataFrame) -> DataFrame:
     """Award events. df: source_id, seed_id, seed_qid, sentence_idx, sentence, linked (array of qid, mention, ner_label).
-    names (mention, qid) links the names of lists such as 'Name (in YEAR)'; where none is listed or none of them is linked,
-    the sentence's first two persons count."""
+    names (mention, qid) links the names of lists such as 'Name (in YEAR)', by the longest one that stands in what the list
+    has, since a list's first name may have words before it; where none is linked the sentence's first two persons count."""
     t = trigger("sentence", "AwardEvent")
     rows = df.withColumn("t", t).filter("t is not null").withColumn("n", F.regexp_extract_all("sentence", F.lit(LISTED), F.lit(1))).withColumn("y", F.regexp_extract_all("sentence", F.lit(LISTED), F.lit(2)))
     pairs = rows.filter(F.size("n") > 0).withColumn("p", F.explode(F.arrays_zip("n", "y"))).withColumn("name", F.trim("p.n"))
-    strong = pairs.join(names.select(F.col("mention").alias("name"), "qid"), "name")
+    known = names.groupBy(F.lower(F.trim("mention")).alias("alias")).agg(F.min("qid").alias("qid")).withColumn("line_no", F.lit(0))
+    strong = pairs.join(alias_override(pairs.select(F.col("name").alias("mention")), known).select(F.col("mention").alias("name"), "qid"), "name")
     listed = _rows(strong, "AwardEvent", F.col("t"), F.array(_arg("Recipient", F.col("qid"), F.col("name"), "PER"), _arg("Award", F.col("seed_qid"), F.col("seed_qid"), ""), _arg("Time", F.lit(""), F.col("p.y"), "DATE")), "award_list_rule")
     year = T.first_year("sentence")
     keys = ["source_id", "seed_id", "seed_qid", "sentence_idx"]

@@ -63,10 +63,11 @@ def assembled(all_edges: DataFrame, canon: DataFrame, claims: DataFrame, entity_
 
 
 def from_curated(sentences: DataFrame, resolved: DataFrame, triples: DataFrame, entity_map: DataFrame, claims: DataFrame, person_seed: str, concept_seed: str) -> dict[str, DataFrame]:
-    """Events, fused triples, nodes and edges from stages that are at hand. Every result is a plan; nothing runs here."""
-    found = events.extract(linked_sentences(resolved, sentences), names(entity_map), person_seed, concept_seed)
-    canon = events.canonical(found)
-    all_edges = graph.outgoing(claims).select(*EDGE).unionByName(event_edges(found))
+    """Events, fused triples, nodes and edges from stages that are at hand; what several results need is written first."""
+    claims = written(claims, "claims")
+    found = written(events.extract(linked_sentences(resolved, sentences), names(entity_map), person_seed, concept_seed), "events")
+    canon = written(events.canonical(found), "canonical")
+    all_edges = written(graph.outgoing(claims).select(*EDGE).unionByName(event_edges(found)), "edges")
     return {"events": found, "canonical": canon, "triples": fusion.merge(triples), "nodes": assembled(all_edges, canon, claims, entity_map), "edges": all_edges}
 
 

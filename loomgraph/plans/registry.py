@@ -436,7 +436,7 @@ _LISTED_SQL = f"{_LINKED}, bb as (select source_id, seed_id, seed_qid, sentence_
 
 
 @query("award_events", "sentences", "resolved", "entity_map", sql=f"""with {_LISTED_SQL}, nm(name,qid) as (values {','.join(str(n) for n in _LIST_NAMES)}), t as (select *, {_triggers_sql('AwardEvent')} as trigger from bb),
- p as (select t.*, unnest(regexp_extract_all(sentence,'{events.LISTED.replace("'", "''")}',1)) name, unnest(regexp_extract_all(sentence,'{events.LISTED.replace("'", "''")}',2)) py from t where trigger is not null), st as (select p.*, nm.qid from p join nm on nm.name=trim(p.name))
+ p as (select t.*, unnest(regexp_extract_all(sentence,'{events.LISTED.replace("'", "''")}',1)) name, unnest(regexp_extract_all(sentence,'{events.LISTED.replace("'", "''")}',2)) py from t where trigger is not null), ov as (select name, qid from (select n.name, nm.qid, row_number() over (partition by n.name order by length(nm.name) desc, nm.qid) r from (select distinct name from p) n join nm on contains(lower(n.name),lower(nm.name))) where r=1), st as (select p.*, ov.qid from p join ov using (name))
  select source_id, seed_id, sentence_idx, trigger, qid as recipient, seed_qid as award, py as year from st union all select source_id, seed_id, sentence_idx, trigger, unnest(pers[1:2]).q, seed_qid, yr from t where trigger is not null and not exists (select 1 from st where st.source_id=t.source_id and st.seed_id=t.seed_id and st.seed_qid=t.seed_qid and st.sentence_idx=t.sentence_idx)""")
 def _(s, r, e):
     arg = lambda role, field: F.coalesce(F.get(F.filter("args", lambda a: a["role"] == role), F.lit(0))[field], F.lit(""))

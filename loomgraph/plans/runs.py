@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ship
 from ..functions import text as T
+from ..functions.tables import written
 from ..operators import graph, inference, linking, mentions, relations, routing
 from ..sources import readers, sinks
 from . import config, pipeline
@@ -183,12 +184,12 @@ _FOCAL = {f"Q{config.NATION + 1}": (("P27",), 50)}
 @kb_query("structured_edges", sql=f"""o as (select subject start_id, target_qid end_id, prop_id from claims where value_type='wikibase-entityid' and subject in ('{_SEEDS[0].qid}','{_SEEDS[1].qid}')),
  i as (select distinct subject start_id, target_qid end_id, prop_id from claims where prop_id='P27' and target_qid='{_SEEDS[0].qid}' order by subject limit 50) select * from o union select * from i""")
 def _(c):
-    return graph.structured(c, _SEEDS, _FOCAL)[1].select("start_id", "end_id", "prop_id")
+    return graph.structured(written(c, "claims"), _SEEDS, _FOCAL)[1].select("start_id", "end_id", "prop_id")
 
 
 @kb_query("structured_nodes")
 def _(c):
-    rows = graph.structured(c, _SEEDS, _FOCAL)[0].withColumn("props", F.create_map().cast("map<string,string>"))
+    rows = graph.structured(written(c, "claims"), _SEEDS, _FOCAL)[0].withColumn("props", F.create_map().cast("map<string,string>"))
     return graph.nodes(rows).select("id", F.array_join("labels", ",").alias("labels"), "extra")
 
 

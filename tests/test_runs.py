@@ -61,9 +61,13 @@ def test_curated_and_full_runs(spark, folder, tmp_path):
     assert run["edges"].count() == run["edges"].select("edge_id").distinct().count()
     pipeline.export(run, str(tmp_path / "run"))
     chunks = t("wiki_chunk").select(F.col("chunk_id").cast("int").alias("chunk_ord"), "lang", "title", "provenance", "citation_key", F.col("url").alias("source_url"), "source_id", F.col("title").alias("source_label"), "text")
-    done = pipeline.full(chunks, config.WORLD, t("entity_map"))
-    assert done["routing"].count() == done["sentences"].select("source_id", "sentence_idx").distinct().count()
-    assert done["triples"].columns == list(sinks.TRIPLE) and done["triples"].count() > 0
+    done = pipeline.full(chunks.filter("source_id is not null"), config.WORLD, t("entity_map"), config.claims(spark, folder), t("relation_schema"), t("re_predictions"), person_seed=config.PERSON_SEED, concept_seed=config.CONCEPT_SEED)
+    assert done["triples"].filter("predicate = 'cooccurrence_linked' and object_qid like 'Q%'").count() > 0
+    linked = done["resolved"].filter("ner_label in ('PER', 'ORG', 'LOC')")
+    assert linked.count() > 0 and linked.filter("chosen_qid = '' or chosen_qid = seed_qid").count() == 0
+    assert done["resolved"].filter("ner_label = 'DATE' and chosen_qid <> ''").count() == 0
+    assert done["edges"].select(F.explode(F.array("start_id", "end_id")).alias("id")).join(done["nodes"].select("id"), "id", "left_anti").count() == 0
+    assert done["bags"].count() > 0 and done["canonical"].count() <= done["events"].count()
 
 
 def test_stream(spark, folder, tmp_path):
